@@ -1,0 +1,4 @@
+"""All queries of the core library by name, with their oracle SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
