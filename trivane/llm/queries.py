@@ -2,7 +2,23 @@
 
 from __future__ import annotations
 
+from .licenses import op4_scan_licenses
 from .mixing import op7_mix_sources
+from .warc import op10_warc_round_trip
 
-QUERIES = {"op7_mix_sources": op7_mix_sources}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op4_scan_licenses": op4_scan_licenses,
+    "op7_mix_sources": op7_mix_sources,
+    "op10_warc_round_trip": op10_warc_round_trip,
+}
+ORACLES: dict[str, str] = {
+    "op10_warc_round_trip": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        d AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),
+        f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN f.first IS NULL OR f.first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN f.first <> page_id THEN f.first END AS refers_to
+        FROM d LEFT JOIN f USING (payload_digest)
+    """,
+}
