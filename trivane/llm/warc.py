@@ -90,7 +90,7 @@ class BundleWriter:
     def __init__(self, uri: str):
         fs, path = _fs(uri)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
-        self.uri, self.out, self.frames, self.at = uri, fs.open_output_stream(path), [], 0
+        self.uri, self.out, self.frames, self.at = uri, fs.open_output_stream(path, compression=None), [], 0
         self.zstd, self.buffer, self.entries, self.index = zstandard.ZstdCompressor(level=3, write_content_size=True), bytearray(), [], []
 
     def add(self, rid: str, page_id: int | None, data: bytes) -> None:
