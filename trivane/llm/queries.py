@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP5_SQL, op5_decontaminate
 from .licenses import op4_scan_licenses
 from .mixing import op7_mix_sources
 from .warc import op10_warc_round_trip
 
 QUERIES = {
     "op4_scan_licenses": op4_scan_licenses,
+    "op5_decontaminate": op5_decontaminate,
     "op7_mix_sources": op7_mix_sources,
     "op10_warc_round_trip": op10_warc_round_trip,
 }
 ORACLES: dict[str, str] = {
+    "op5_decontaminate": OP5_SQL,
     "op10_warc_round_trip": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
         d AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),
