@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import arrow_rows, scratch, written
 
 MIN_REVISIT_BYTES = 100
 FRAME_BYTES = 256 * 1024
@@ -176,10 +176,10 @@ def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
     return joined.select("page_id", "url", "html", "digest", "bytes", "refers_to").mapInArrow(write, INDEX)
 
 
-def read_bundles(index: DataFrame) -> DataFrame:
+def read_bundles(index: DataFrame, payloads: bool = True) -> DataFrame:
     """Read records back by the index: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
 
-    Rows of one frame lie together in the index, so a frame is fetched and decompressed once; any
+    payload is null for revisits, and for all without ``payloads``. Rows of one frame lie together in the index, so a frame is fetched and decompressed once; any
     subset of index rows can be read, a frame at a time. Digests are recomputed for responses and
     must equal the header's; a mismatch raises.
     """
@@ -206,8 +206,8 @@ def read_bundles(index: DataFrame) -> DataFrame:
                 if h["WARC-Record-ID"] != r["record_id"] or kind == "response" and (hashlib.sha256(x["payload"]).hexdigest(), len(x["payload"])) != (digest, size):
                     raise ValueError(f"record {r['record_id']} in {name} is damaged")
                 refers = int(h["WARC-Refers-To"].removeprefix("<urn:page:").rstrip(">")) if kind == "revisit" else None
-                rows.append((r["page_id"], h["WARC-Target-URI"], size, digest, kind, refers, x["payload"] if kind == "response" else None))
-                held += len(x["payload"])
+                rows.append((r["page_id"], h["WARC-Target-URI"], size, digest, kind, refers, x["payload"] if payloads and kind == "response" else None))
+                held += len(x["payload"]) * payloads
                 if held > 1 << 22 or len(rows) >= 2000:
                     yield out()
                     rows, held = [], 0
@@ -221,5 +221,6 @@ def read_bundles(index: DataFrame) -> DataFrame:
 
 def op10_warc_round_trip(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    index = written(write_bundles(pages, scratch(spark, "warc")), "warc-index")
-    return read_bundles(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    with arrow_rows(spark, 256):
+        index = written(write_bundles(pages, scratch(spark, "warc")), "warc-index")
+    return read_bundles(index, payloads=False).drop("url", "payload")
