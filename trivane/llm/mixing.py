@@ -153,6 +153,7 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, seed: int = 7)
         gap = written(g.select("source", (F.col("gap") - F.coalesce("b.size", F.lit(0))).alias("gap"), *(["fill1"] if name == "fill2" else []), F.col("b.key").alias(name)), "mix-gap")
     plan = plan.join(gap.select(F.col("source").alias("_s"), "fill1", "fill2"), plan.source.eqNullSafe(F.col("_s")), "left").drop("_s")
 
+    plan = written(plan, "mix-plan")  # a row a source: Spark sees its size, and broadcasts it only if it is small
     new = ["size", "source_size", "target", "rate", "copies", "taken"]
     keep = [c for c in docs.columns if c not in new]
     out = docs.select(F.struct(*keep).alias("_row"), "doc_id", "source", "text")  # so that no other column clashes
