@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP5_SQL, op5_decontaminate
+from .jaccard import OP8_SQL, op8_jaccard_join
 from .licenses import op4_scan_licenses
 from .mixing import op7_mix_sources
 from .warc import op10_warc_round_trip
@@ -11,10 +12,12 @@ QUERIES = {
     "op4_scan_licenses": op4_scan_licenses,
     "op5_decontaminate": op5_decontaminate,
     "op7_mix_sources": op7_mix_sources,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_warc_round_trip": op10_warc_round_trip,
 }
 ORACLES: dict[str, str] = {
     "op5_decontaminate": OP5_SQL,
+    "op8_jaccard_join": OP8_SQL,
     "op10_warc_round_trip": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
         d AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),
