@@ -6,9 +6,11 @@ from .decontaminate import OP5_SQL, op5_decontaminate
 from .jaccard import OP8_SQL, op8_jaccard_join
 from .licenses import op4_scan_licenses
 from .mixing import op7_mix_sources
+from .substrings import OP2_SQL, op2_substring_dedup
 from .warc import op10_warc_round_trip
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_scan_licenses": op4_scan_licenses,
     "op5_decontaminate": op5_decontaminate,
     "op7_mix_sources": op7_mix_sources,
@@ -16,6 +18,7 @@ QUERIES = {
     "op10_warc_round_trip": op10_warc_round_trip,
 }
 ORACLES: dict[str, str] = {
+    "op2_substring_dedup": OP2_SQL,
     "op5_decontaminate": OP5_SQL,
     "op8_jaccard_join": OP8_SQL,
     "op10_warc_round_trip": """
