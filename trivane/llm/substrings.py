@@ -85,7 +85,9 @@ def _unpack(hashes: np.ndarray, reply: list | None, parts: int) -> np.ndarray:
     bits = np.zeros(len(hashes), bool)
     if not reply:
         return bits
-    by = {r["p"]: np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little").astype(bool) for r in reply}
+    # Repeated rows may have been sent from several buffers; each one's answers are complete.
+    buffer = min(r["s"] for r in reply)
+    by = {r["p"]: np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little").astype(bool) for r in reply if r["s"] == buffer}
     if -1 in by:  # settled where it was sent from
         bits |= by[-1][: len(hashes)]
     rest = np.flatnonzero(~bits)
@@ -122,7 +124,7 @@ class State:
 
 def _send(level: int, levels: list[int], parts: int):
     """Documents send the hashes of their candidates at a level."""
-    schema = pa.schema([("p", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
+    schema = pa.schema([("p", pa.int32()), ("s", pa.int64()), ("ids", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
     final = level == len(levels) - 1
 
     def flush(held):
@@ -132,6 +134,8 @@ def _send(level: int, levels: list[int], parts: int):
         doc = np.repeat(np.arange(len(held)), sizes)
         if not len(h):
             return
+        # The buffer's name depends on its content alone, so a task run again gives it again.
+        name = mix(mix(ids.view(U)) + mix(keys.view(U) + U(len(ids)))).sum(dtype=U)[None].view(np.int64)
         order = np.lexsort((ids[doc], h))
         start = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
         count = np.diff(np.append(start, len(h)))
@@ -145,7 +149,7 @@ def _send(level: int, levels: list[int], parts: int):
         packed = [np.packbits(local[ends[d] - sizes[d] : ends[d]], bitorder="little").tobytes() for d in some]
         if len(some):  # these pass through the exchange as they are
             to = (np.abs(keys[some]) % parts).astype(np.int32)
-            yield _batch(schema, to, [ids[d : d + 1].tobytes() for d in some], [keys[d : d + 1].tobytes() for d in some], pa.nulls(len(some), pa.binary()), packed)
+            yield _batch(schema, to, name.repeat(len(to)), [ids[d : d + 1].tobytes() for d in some], [keys[d : d + 1].tobytes() for d in some], pa.nulls(len(some), pa.binary()), packed)
         ask = np.flatnonzero(~local)
         p = _part(h[ask], parts)
         by = np.lexsort((ask, p))
@@ -157,7 +161,7 @@ def _send(level: int, levels: list[int], parts: int):
             for row, x in zip(rows, (ids[d], keys[d], n.astype(np.int32), h[ask[a:b]]), strict=True):
                 row.append(x.tobytes())
         if len(cuts):
-            yield _batch(schema, p[cuts], *rows)
+            yield _batch(schema, p[cuts], name.repeat(len(cuts)), *rows)
         if not final and local.any():  # one entry for each hash settled here, so that others learn of it
             told = h[order][start[low[start] < high[start]]]
             p = _part(told, parts)
@@ -165,7 +169,7 @@ def _send(level: int, levels: list[int], parts: int):
             cuts = np.flatnonzero(np.diff(p[by], prepend=-1))
             parts_of = [told[by[a:b]].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(p)], strict=True)]
             empty = [b""] * len(cuts)
-            yield _batch(schema, p[by][cuts], empty, empty, empty, parts_of)
+            yield _batch(schema, p[by][cuts], name.repeat(len(cuts)), empty, empty, empty, parts_of)
 
     def run(batches):
         held, size = [], 0
@@ -188,26 +192,26 @@ def _send(level: int, levels: list[int], parts: int):
 
 def _answer(final: bool):
     """A partition of the hash space answers: one bit for each hash of each document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("p", pa.int32()), ("bits", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("s", pa.int64()), ("p", pa.int32()), ("bits", pa.binary())])
 
-    def reply(ids, keys, p, bits):
-        return _batch(schema, pa.array(ids, pa.int64(), mask=np.asarray(ids) == NULL_ID), keys, p, bits)
+    def reply(ids, keys, names, p, bits):
+        return _batch(schema, pa.array(ids, pa.int64(), mask=np.asarray(ids) == NULL_ID), keys, names, p, bits)
 
     def run(batches):
         asked, told = [], []
         for b in batches:
-            rows = zip(b.column(0).to_pylist(), *[b.column(k) for k in range(1, 5)], strict=True)
-            through = ([], [], [], [])
-            for p, ids, keys, counts, hashes in rows:
+            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *[b.column(k) for k in range(2, 6)], strict=True)
+            through = ([], [], [], [], [])
+            for p, name, ids, keys, counts, hashes in rows:
                 ids = np.frombuffer(ids.as_buffer(), np.int64)
                 keys = np.frombuffer(keys.as_buffer(), np.int64)
                 if not counts.is_valid:
-                    for x, y in zip(through, (int(ids[0]), int(keys[0]), -1, hashes.as_py()), strict=True):
+                    for x, y in zip(through, (int(ids[0]), int(keys[0]), name, -1, hashes.as_py()), strict=True):
                         x.append(y)
                 elif not len(ids):
                     told.append(np.frombuffer(hashes.as_buffer(), U).copy())
                 else:
-                    asked.append((p, ids.copy(), keys.copy(), np.frombuffer(counts.as_buffer(), np.int32).copy(), np.frombuffer(hashes.as_buffer(), U).copy()))
+                    asked.append((p, ids.copy(), keys.copy(), np.frombuffer(counts.as_buffer(), np.int32).copy(), np.frombuffer(hashes.as_buffer(), U).copy(), name))
             if through[0]:
                 yield reply(*through)
         if not asked:
@@ -227,13 +231,13 @@ def _answer(final: bool):
                 many |= np.isin(hs[start], np.concatenate(told))
             bit[order] = np.repeat(many, count)
         at = 0
-        for p, ids, keys, counts, _ in asked:
+        for p, ids, keys, counts, _, name in asked:
             ends = at + np.cumsum(counts)
             begins = ends - counts
             some = [k for k in range(len(ids)) if bit[begins[k] : ends[k]].any()]
             at = int(ends[-1])
             if some:
-                yield reply(ids[some], keys[some], np.full(len(some), p, np.int32), [np.packbits(bit[begins[k] : ends[k]], bitorder="little").tobytes() for k in some])
+                yield reply(ids[some], keys[some], np.full(len(some), name, np.int64), np.full(len(some), p, np.int32), [np.packbits(bit[begins[k] : ends[k]], bitorder="little").tobytes() for k in some])
 
     return run
 
@@ -287,7 +291,7 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     levels = lengths(window)
     d = docs.select("doc_id", F.xxhash64(F.lit(1), "text").alias("key"), "text")
     known = None
-    bits = "array<struct<p:int,bits:binary>>"
+    bits = "array<struct<s:bigint,p:int,bits:binary>>"
 
     def with_replies(how: str) -> DataFrame:
         if known is None:
@@ -298,9 +302,9 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     with arrow_rows(spark, ROWS):
         for k in range(len(levels)):
             final = k == len(levels) - 1
-            asked = with_replies("inner").mapInArrow(_send(k, levels, parts), "p int, ids binary, keys binary, counts binary, hashes binary")
-            said = asked.repartition(p, "p").mapInArrow(_answer(final), "doc_id long, key long, p int, bits binary")
-            said = said.groupBy("doc_id", "key").agg(F.collect_set(F.struct("p", "bits")).cast(bits).alias(f"r{k}"))
+            asked = with_replies("inner").mapInArrow(_send(k, levels, parts), "p int, s long, ids binary, keys binary, counts binary, hashes binary")
+            said = asked.repartition(p, "p").mapInArrow(_answer(final), "doc_id long, key long, s long, p int, bits binary")
+            said = said.groupBy("doc_id", "key").agg(F.collect_set(F.struct("s", "p", "bits")).cast(bits).alias(f"r{k}"))
             if known is not None:
                 r = known.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
                 said = said.join(r, said.doc_id.eqNullSafe(r._id) & (said.key == r._key)).drop("_id", "_key")
