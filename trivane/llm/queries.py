@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP5_SQL, op5_decontaminate
+from .embeddings import op1_embedding_near_dedup
 from .jaccard import OP8_SQL, op8_jaccard_join
 from .licenses import op4_scan_licenses
 from .mixing import op7_mix_sources
@@ -10,6 +11,7 @@ from .substrings import OP2_SQL, op2_substring_dedup
 from .warc import op10_warc_round_trip
 
 QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_scan_licenses": op4_scan_licenses,
     "op5_decontaminate": op5_decontaminate,
