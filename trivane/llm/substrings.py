@@ -8,7 +8,7 @@ are extended to the next, and the search ends when no candidates survive.
 The first level is thinned without loss: of the 7-word windows within each 13-word window the one of
 smallest hash is its anchor, equal 13-word windows have equal anchors, so about a quarter of all
 windows is looked at. Each level is one exchange: documents send their distinct window hashes, packed
-by partition of the hash space, and get back one bit for each. A hash that several documents of one
+by partition of the hash space, and get back one bit for each, gathered by sending buffer. A hash that several documents of one
 buffer share is settled there and sent once, so a passage in a third of all documents costs one entry
 a buffer, not one a document.
 """
@@ -32,7 +32,6 @@ ROWS = 1000
 FLUSH_BYTES = 12 << 20
 #: A null doc_id counts as larger than all others.
 NULL_ID = np.iinfo(np.int64).max
-_LAST = np.iinfo(np.int64).max
 
 
 def lengths(window: int) -> list[int]:
@@ -80,22 +79,15 @@ def _anchors(words: np.ndarray, window: int, base: int) -> np.ndarray:
     return out
 
 
-def _unpack(hashes: np.ndarray, reply: list | None, parts: int) -> np.ndarray:
-    """A level's bit for each of a document's hashes, from what came back."""
+def _unpack(hashes: np.ndarray, reply: dict | None, parts: int) -> np.ndarray:
+    """A level's bit for each of a document's hashes: those settled at once, then the others by partition."""
     bits = np.zeros(len(hashes), bool)
-    if not reply:
-        return bits
-    # Repeated rows may have been sent from several buffers; each one's answers are complete.
-    buffer = min(r["s"] for r in reply)
-    by = {r["p"]: np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little").astype(bool) for r in reply if r["s"] == buffer}
-    if -1 in by:  # settled where it was sent from
-        bits |= by[-1][: len(hashes)]
-    rest = np.flatnonzero(~bits)
-    p = _part(hashes[rest], parts)
-    for k, b in by.items():
-        if k >= 0:
-            at = rest[p == k]
-            bits[at] = b[: len(at)]
+    if reply:
+        unpack = lambda x, n: np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little")[:n].astype(bool)
+        bits |= unpack(reply["local"], len(bits))
+        rest = np.flatnonzero(~bits)
+        order = np.argsort(_part(hashes[rest], parts), kind="stable")
+        bits[rest[order]] = unpack(reply["rest"], len(rest))
     return bits
 
 
@@ -122,20 +114,37 @@ class State:
                 index = index.reshape(both.shape)
 
 
+#: What documents send, by partition p of the hash space. A buffer s also sends one row without hashes: all
+#: its documents and the bits settled within, which passes by. Rows without documents only tell hashes.
+ASKED = pa.schema([("p", pa.int32()), ("s", pa.int64()), ("ids", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("bits", pa.binary())])
+ASKED_SQL = "p int, s long, ids binary, docs binary, counts binary, hashes binary, bits binary"
+SAID = pa.schema([("s", pa.int64()), ("p", pa.int32()), ("ids", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("bits", pa.binary())])
+SAID_SQL = "s long, p int, ids binary, docs binary, counts binary, bits binary"
+BITS = {"bitorder": "little"}
+
+
+def _cuts(p: np.ndarray) -> list[tuple[int, int]]:
+    at = np.flatnonzero(np.diff(p, prepend=-1)).tolist()
+    return list(zip(at, [*at[1:], len(p)], strict=True))
+
+
 def _send(level: int, levels: list[int], parts: int):
     """Documents send the hashes of their candidates at a level."""
-    schema = pa.schema([("p", pa.int32()), ("s", pa.int64()), ("ids", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
     final = level == len(levels) - 1
 
+    def rows(p, name, **cols):
+        n = len(p)
+        col = lambda c: pa.array(cols[c], pa.binary()) if c in cols else pa.nulls(n, pa.binary())
+        return _batch(ASKED, np.asarray(p, np.int32), np.full(n, name, np.int64), *[col(c) for c in ASKED.names[2:]])
+
     def flush(held):
         ids, keys = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
         sizes = np.array([len(x[2]) for x in held])
         h = np.concatenate([x[2] for x in held])
-        doc = np.repeat(np.arange(len(held)), sizes)
-        if not len(h):
-            return
+        doc = np.repeat(np.arange(len(held), dtype=np.int32), sizes)
         # The buffer's name depends on its content alone, so a task run again gives it again.
-        name = mix(mix(ids.view(U)) + mix(keys.view(U) + U(len(ids)))).sum(dtype=U)[None].view(np.int64)
+        with np.errstate(over="ignore"):
+            name = int(mix(mix(ids.view(U)) + mix(keys.view(U) + U(len(ids)))).sum(dtype=U)[None].view(np.int64)[0])
         order = np.lexsort((ids[doc], h))
         start = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
         count = np.diff(np.append(start, len(h)))
@@ -144,32 +153,26 @@ def _send(level: int, levels: list[int], parts: int):
         local = np.zeros(len(h), bool)
         # In the last level a window is settled if a smaller document has it, before that if any other.
         local[order] = low < ids[doc][order] if final else low < high
-        ends = np.cumsum(sizes)
-        some = np.flatnonzero(np.add.reduceat(np.append(local, False).astype(np.int64), np.concatenate([[0], ends[:-1]])) * (sizes > 0))
-        packed = [np.packbits(local[ends[d] - sizes[d] : ends[d]], bitorder="little").tobytes() for d in some]
-        if len(some):  # these pass through the exchange as they are
-            to = (np.abs(keys[some]) % parts).astype(np.int32)
-            yield _batch(schema, to, name.repeat(len(to)), [ids[d : d + 1].tobytes() for d in some], [keys[d : d + 1].tobytes() for d in some], pa.nulls(len(some), pa.binary()), packed)
+        yield rows([abs(name) % parts], name, ids=[ids.tobytes()], docs=[keys.tobytes()], counts=[sizes.astype(np.int32).tobytes()], bits=[np.packbits(local, **BITS).tobytes()])
         ask = np.flatnonzero(~local)
         p = _part(h[ask], parts)
-        by = np.lexsort((ask, p))
+        by = np.argsort(p, kind="stable")
         ask, p = ask[by], p[by]
-        cuts = np.flatnonzero(np.diff(p, prepend=-1))
-        rows = [[], [], [], []]
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(p)], strict=True):
+        made = ([], [], [], [])
+        cuts = _cuts(p)
+        for a, b in cuts:
             d, n = np.unique(doc[ask[a:b]], return_counts=True)
-            for row, x in zip(rows, (ids[d], keys[d], n.astype(np.int32), h[ask[a:b]]), strict=True):
+            for row, x in zip(made, (ids[d], d.astype(np.int32), n.astype(np.int32), h[ask[a:b]]), strict=True):
                 row.append(x.tobytes())
-        if len(cuts):
-            yield _batch(schema, p[cuts], name.repeat(len(cuts)), *rows)
-        if not final and local.any():  # one entry for each hash settled here, so that others learn of it
+        if cuts:
+            yield rows(p[[a for a, _ in cuts]], name, ids=made[0], docs=made[1], counts=made[2], hashes=made[3])
+        if not final:  # one entry for each hash settled here, so that others learn of it
             told = h[order][start[low[start] < high[start]]]
             p = _part(told, parts)
             by = np.argsort(p, kind="stable")
-            cuts = np.flatnonzero(np.diff(p[by], prepend=-1))
-            parts_of = [told[by[a:b]].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(p)], strict=True)]
-            empty = [b""] * len(cuts)
-            yield _batch(schema, p[by][cuts], name.repeat(len(cuts)), empty, empty, empty, parts_of)
+            told, p = told[by], p[by]
+            if cuts := _cuts(p):
+                yield rows(p[[a for a, _ in cuts]], name, hashes=[told[a:b].tobytes() for a, b in cuts])
 
     def run(batches):
         held, size = [], 0
@@ -181,8 +184,9 @@ def _send(level: int, levels: list[int], parts: int):
                 size += len(data)
                 if len(hashes):
                     held.append((t.ids[i], t.keys[i], hashes))
-                if size >= FLUSH_BYTES and held:
-                    yield from flush(held)
+                if size >= FLUSH_BYTES:
+                    if held:
+                        yield from flush(held)
                     held, size = [], 0
         if held:
             yield from flush(held)
@@ -192,32 +196,26 @@ def _send(level: int, levels: list[int], parts: int):
 
 def _answer(final: bool):
     """A partition of the hash space answers: one bit for each hash of each document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("s", pa.int64()), ("p", pa.int32()), ("bits", pa.binary())])
-
-    def reply(ids, keys, names, p, bits):
-        return _batch(schema, pa.array(ids, pa.int64(), mask=np.asarray(ids) == NULL_ID), keys, names, p, bits)
 
     def run(batches):
         asked, told = [], []
         for b in batches:
-            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *[b.column(k) for k in range(2, 6)], strict=True)
-            through = ([], [], [], [], [])
-            for p, name, ids, keys, counts, hashes in rows:
-                ids = np.frombuffer(ids.as_buffer(), np.int64)
-                keys = np.frombuffer(keys.as_buffer(), np.int64)
-                if not counts.is_valid:
-                    for x, y in zip(through, (int(ids[0]), int(keys[0]), name, -1, hashes.as_py()), strict=True):
-                        x.append(y)
-                elif not len(ids):
-                    told.append(np.frombuffer(hashes.as_buffer(), U).copy())
+            by = []
+            for k, (p, s) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                ids, docs, counts, hashes, _ = (b.column(c)[k].as_py() for c in range(2, 7))
+                if hashes is None:
+                    by.append(k)
+                elif ids is None:
+                    told.append(np.frombuffer(hashes, U))
                 else:
-                    asked.append((p, ids.copy(), keys.copy(), np.frombuffer(counts.as_buffer(), np.int32).copy(), np.frombuffer(hashes.as_buffer(), U).copy(), name))
-            if through[0]:
-                yield reply(*through)
+                    asked.append((p, s, np.frombuffer(ids, np.int64), docs, np.frombuffer(counts, np.int32), np.frombuffer(hashes, U)))
+            if by:
+                x = b.take(pa.array(by))
+                yield _batch(SAID, x.column(1), np.full(len(by), -1, np.int32), x.column(2), x.column(3), x.column(4), x.column(6))
         if not asked:
             return
-        h = np.concatenate([x[4] for x in asked])
-        doc = np.concatenate([np.repeat(x[1], x[3]) for x in asked])
+        h = np.concatenate([x[5] for x in asked])
+        doc = np.concatenate([np.repeat(x[2], x[4]) for x in asked])
         order = np.lexsort((doc, h))
         hs, ds = h[order], doc[order]
         start = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
@@ -230,18 +228,43 @@ def _answer(final: bool):
             if told:
                 many |= np.isin(hs[start], np.concatenate(told))
             bit[order] = np.repeat(many, count)
-        at = 0
-        for p, ids, keys, counts, _, name in asked:
-            ends = at + np.cumsum(counts)
-            begins = ends - counts
-            some = [k for k in range(len(ids)) if bit[begins[k] : ends[k]].any()]
-            at = int(ends[-1])
-            if some:
-                yield reply(ids[some], keys[some], np.full(len(some), name, np.int64), np.full(len(some), p, np.int32), [np.packbits(bit[begins[k] : ends[k]], bitorder="little").tobytes() for k in some])
+        at, none = 0, pa.nulls(1, pa.binary())
+        for p, s, _, docs, counts, x in asked:
+            yield _batch(SAID, [s], [p], none, [docs], [counts.tobytes()], [np.packbits(bit[at : at + len(x)], **BITS).tobytes()])
+            at += len(x)
 
     return run
 
 
+def _gather(batches):
+    """A buffer's answers become one row for each of its documents that has a bit set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("s", pa.int64()), ("local", pa.binary()), ("rest", pa.binary())])
+    by: dict[int, list] = {}
+    for b in batches:
+        for r in b.to_pylist():
+            by.setdefault(r["s"], []).append(r)
+    for name, rows in by.items():
+        rows = {r["p"]: r for r in rows}  # repeated rows may give equal buffers
+        own = rows.pop(-1)
+        ids, keys, sizes = np.frombuffer(own["ids"], np.int64), np.frombuffer(own["docs"], np.int64), np.frombuffer(own["counts"], np.int32)
+        local = np.unpackbits(np.frombuffer(own["bits"], np.uint8), **BITS)[: sizes.sum()]
+        doc, bits = [np.zeros(0, np.int32)], [np.zeros(0, np.uint8)]
+        for p in sorted(rows):
+            n = np.frombuffer(rows[p]["counts"], np.int32)
+            doc.append(np.repeat(np.frombuffer(rows[p]["docs"], np.int32), n))
+            bits.append(np.unpackbits(np.frombuffer(rows[p]["bits"], np.uint8), **BITS)[: n.sum()])
+        doc, bits = np.concatenate(doc), np.concatenate(bits)
+        bits = bits[np.argsort(doc, kind="stable")]
+        ends, last = np.cumsum(sizes), np.cumsum(np.bincount(doc, minlength=len(ids)))
+        out = ([], [], [], [], [])
+        for d in range(len(ids)):
+            x, y = local[ends[d] - sizes[d] : ends[d]], bits[(last[d - 1] if d else 0) : last[d]]
+            if x.any() or y.any():
+                for o, v in zip(out, (int(ids[d]), int(keys[d]), name, np.packbits(x, **BITS).tobytes(), np.packbits(y, **BITS).tobytes()), strict=True):
+                    o.append(v)
+        yield _batch(schema, pa.array([None if i == NULL_ID else i for i in out[0]], pa.int64()), *out[1:])
+
+
 def _finish(levels: list[int], parts: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
@@ -291,7 +314,7 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     levels = lengths(window)
     d = docs.select("doc_id", F.xxhash64(F.lit(1), "text").alias("key"), "text")
     known = None
-    bits = "array<struct<s:bigint,p:int,bits:binary>>"
+    bits = "struct<s:bigint,local:binary,rest:binary>"
 
     def with_replies(how: str) -> DataFrame:
         if known is None:
@@ -302,9 +325,11 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     with arrow_rows(spark, ROWS):
         for k in range(len(levels)):
             final = k == len(levels) - 1
-            asked = with_replies("inner").mapInArrow(_send(k, levels, parts), "p int, s long, ids binary, keys binary, counts binary, hashes binary")
-            said = asked.repartition(p, "p").mapInArrow(_answer(final), "doc_id long, key long, s long, p int, bits binary")
-            said = said.groupBy("doc_id", "key").agg(F.collect_set(F.struct("s", "p", "bits")).cast(bits).alias(f"r{k}"))
+            asked = with_replies("inner").mapInArrow(_send(k, levels, parts), ASKED_SQL).repartition(p, "p")
+            said = asked.mapInArrow(_answer(final), SAID_SQL).repartition(p, "s")
+            said = said.mapInArrow(_gather, "doc_id long, key long, s long, local binary, rest binary")
+            # Repeated rows may have been sent from several buffers; each one's answers are complete.
+            said = said.groupBy("doc_id", "key").agg(F.min(F.struct("s", "local", "rest")).cast(bits).alias(f"r{k}"))
             if known is not None:
                 r = known.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
                 said = said.join(r, said.doc_id.eqNullSafe(r._id) & (said.key == r._key)).drop("_id", "_key")
