@@ -13,7 +13,8 @@ into short ones, which are merged, and up to T - 1 long ones, which are only pro
 3.  Merging: lists of up to ``LIST`` nodes give candidate pairs under size and position filters. Nodes
     of longer lists form clusters, which are joined block by block inside tasks, again by T-occurrence
     search, and give only a spanning forest of links: no group is expanded into all pairs.
-4.  Candidate pairs are verified on whole sets by binary probes; components of the links follow.
+4.  A candidate pair stays if its shared short lists leave T in reach (T - L, DivideSkip's merge
+    threshold); what is left is verified on whole sets by binary probes. Components follow.
 
 Shingles are compared by 64-bit hashes. Nothing is capped or sampled; the result is exact up to a
 collision of 64-bit hashes within a pair.
@@ -34,7 +35,7 @@ from .components import components
 from .textops import U, chunks, gram_sets, mix
 
 #: Counters of the frequency sketch, and the rows that they travel in.
-WIDTH, SLICES = 1 << 21, 128
+WIDTH, SLICES = 1 << 22, 128
 #: Longer lists are joined in blocks of so many nodes.
 LIST, BLOCK = 48, 256
 ROWS = 2000
@@ -132,10 +133,8 @@ def _postings(docs: DataFrame, shingle: int, percent: int, levels) -> DataFrame:
                 size += nbytes
                 if len(s) and (fp := fingerprint(s)) not in seen:
                     seen.add(fp)
-                    n = len(s)
-                    short = n - (percent * n + 99) // 100 + 1
-                    order = np.argsort(level[(s & U(WIDTH - 1)).astype(np.int64)], kind="stable")[:short]
-                    held.append((s[order], np.full(short, fp, np.int64), np.full(short, n, np.int32), np.arange(short, dtype=np.int32)))
+                    q = _short(s, level, percent)
+                    held.append((q, np.full(len(q), fp, np.int64), np.full(len(q), len(s), np.int32), np.arange(len(q), dtype=np.int32)))
                 if size >= FLUSH_BYTES:
                     if held:
                         yield flush(held)
@@ -197,8 +196,7 @@ def _merge(percent: int):
 def links_of(sets: list[np.ndarray], percent: int, across: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links among ``sets``: T-occurrence search with DivideSkip.
 
-    ``across`` gives each set's side (0 or 1); with it only pairs of different sides are sought. Pairs
-    already connected are not examined further.
+    ``across`` gives each set's side (0 or 1); with it only pairs of different sides are sought.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     if not len(sets) or not sizes.sum():
@@ -257,6 +255,37 @@ def links_of(sets: list[np.ndarray], percent: int, across: np.ndarray | None = N
                 yield q, c
 
 
+def _short(s: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
+    """A set's short lists: its rarest shingles in the global order."""
+    order = np.argsort(level[(s & U(WIDTH - 1)).astype(np.int64)], kind="stable")
+    return s[order[: len(s) - (percent * len(s) + 99) // 100 + 1]]
+
+
+def _reach(percent: int, levels):
+    """DivideSkip's merge threshold: keep pairs whose shared short lists leave the overlap in reach.
+
+    The set whose short lists end first in the global order has all its other shared shingles among
+    its long lists, so the overlap is at most the shared short lists and the number of those.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        level = levels.value
+        for t in batches:
+            a, b, na, nb, qa, qb = (t.column(i) for i in range(6))
+            sizes = zip(na.to_pylist(), nb.to_pylist(), strict=True)
+            ok = []
+            for i, (m, n) in enumerate(sizes):
+                x, y = np.frombuffer(qa[i].as_buffer(), U), np.frombuffer(qb[i].as_buffer(), U)
+                ends = [(level[int(q[-1] & U(WIDTH - 1))], q[-1]) for q in (x, y)]
+                rest = m - len(x) if ends[0] <= ends[1] else n - len(y)
+                ok.append(len(np.intersect1d(x, y, assume_unique=True)) + rest >= need(m, n, percent))
+            keep = pa.array(ok, pa.bool_())
+            yield _batch(schema, a.filter(keep), b.filter(keep))
+
+    return run
+
+
 def _verify(percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -298,8 +327,13 @@ def jaccard_groups(docs: DataFrame, shingle: int = 4, percent: int = 85) -> Data
         classes = written(nodes.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "jaccard-classes")
         ends = merged.select(F.col("a").alias("fp")).union(merged.select("b")).distinct()
         wanted = written(ends.join(classes, "fp"), "jaccard-wanted")
-        sets = written(_sets_of(docs, wanted, shingle), "jaccard-sets")
+        sets = written(_sets_of(docs, wanted, shingle, percent, levels), "jaccard-sets")
+        if sets.count() > wanted.count():  # repeated rows
+            sets = written(sets.dropDuplicates(["fp"]), "jaccard-sets")
+        head = lambda c: sets.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col("q").alias(f"q{c}"))
         side = lambda c: sets.select(F.col("fp").alias(c), F.col("s").alias(f"s{c}"))
+        near = pairs.join(head("b"), "b").join(head("a"), "a").select("a", "b", "na", "nb", "qa", "qb")
+        pairs = written(near.mapInArrow(_reach(percent, levels), "a long, b long"), "jaccard-near")
         both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
         links = both.mapInArrow(_verify(percent), "a long, b long")
         if not hot.isEmpty():
@@ -313,27 +347,55 @@ def jaccard_groups(docs: DataFrame, shingle: int = 4, percent: int = 85) -> Data
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(fp, s) with the packed set of each wanted node, from its document of smallest doc_id."""
-    schema = pa.schema([("fp", pa.int64()), ("s", pa.binary())])
+def _known_ids(wanted: DataFrame) -> np.ndarray:
+    """A filter of fixed size that lets pass all wanted doc_ids (and few others)."""
+    schema = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
+        seen = np.zeros(WIDTH, np.uint16)
+        for b in batches:
+            seen[_slot(b.column(0))] = 1
+        parts = seen.reshape(SLICES, -1)
+        keep = [k for k in range(SLICES) if parts[k].any()]
+        if keep:
+            yield _batch(schema, keep, [zlib.compress(parts[k].tobytes(), 1) for k in keep])
+
+    return _levels(wanted.select("doc_id").mapInArrow(run, "slice int, counts binary")) > 0
+
+
+def _slot(ids: pa.Array) -> np.ndarray:
+    return (mix(ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(U)) & U(WIDTH - 1)).astype(np.int64)
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, percent: int, levels) -> DataFrame:
+    """(fp, n, q, s) with each wanted node's size, short lists and set, from its document of smallest doc_id.
+
+    A filter of fixed size passes over documents that are not wanted where they are read, so only
+    sets of wanted ones travel.
+    """
+    schema = pa.schema([("id", pa.int64()), ("f", pa.int64()), ("n", pa.int64()), ("q", pa.binary()), ("s", pa.binary())])
+    known = docs.sparkSession.sparkContext.broadcast(_known_ids(wanted))
+
+    def run(batches):
+        level = levels.value
         for b in batches:
-            fps, packed, size = [], [], 0
-            want = b.column(b.schema.get_field_index("fp")).to_pylist()
+            ids = b.column(b.schema.get_field_index("doc_id"))
+            at = pa.array(np.flatnonzero(known.value[_slot(ids)]))
+            b, ids = b.take(at), ids.take(at).to_pylist()
+            rows, size = [], 0
             for i, s, _ in _sets(b, shingle):
-                if fingerprint(s) == want[i]:  # rows may share a doc_id
-                    fps.append(want[i])
-                    packed.append(s.tobytes())
+                if len(s):
+                    rows.append((ids[i], fingerprint(s), len(s), _short(s, level, percent).tobytes(), s.tobytes()))
                     size += s.nbytes
-                    if size > 4 << 20:
-                        yield _batch(schema, fps, packed)
-                        fps, packed, size = [], [], 0
-            yield _batch(schema, fps, packed)
+                if size > 4 << 20:
+                    yield _batch(schema, *zip(*rows, strict=True))
+                    rows, size = [], 0
+            if rows:
+                yield _batch(schema, *zip(*rows, strict=True))
 
-    w = wanted.select("fp", F.col("doc_id").alias("_id"))
-    d = docs.select("doc_id", "text").join(w, docs.doc_id.eqNullSafe(w._id)).select("fp", "text")
-    return d.mapInArrow(run, "fp long, s binary").dropDuplicates(["fp"])
+    found = docs.select("doc_id", "text").mapInArrow(run, "id long, f long, n long, q binary, s binary")
+    w = wanted.select("fp", "doc_id")
+    return found.join(w, (found.f == w.fp) & found.id.eqNullSafe(w.doc_id)).select("fp", "n", "q", "s")
 
 
 def _block_links(hot: DataFrame, wanted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -344,7 +406,7 @@ def _block_links(hot: DataFrame, wanted: DataFrame, sets: DataFrame, percent: in
     """
     cluster = written(components(hot), "jaccard-clusters")
     ratio = float(np.log(100 / percent)) if percent < 100 else 1.0
-    m = cluster.join(wanted, cluster.node == wanted.fp).select("fp", F.col("root").alias("cluster"), F.floor(F.log(F.col("n").cast("double")) / ratio + 1e-9).cast("int").alias("g"))
+    m = cluster.join(wanted.select("fp", "n"), cluster.node == F.col("fp")).select("fp", F.col("root").alias("cluster"), F.floor(F.log(F.col("n").cast("double")) / ratio + 1e-9).cast("int").alias("g"))
     sizes = written(m.groupBy("cluster", "g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "jaccard-blocks")
     near = lambda k, name: sizes.select("cluster", (F.col("g") + k).alias("g"), F.col("blocks").alias(name))
     m = m.join(sizes, ["cluster", "g"]).join(near(-1, "above"), ["cluster", "g"], "left").join(near(1, "below"), ["cluster", "g"], "left")
@@ -364,7 +426,7 @@ def _block_links(hot: DataFrame, wanted: DataFrame, sets: DataFrame, percent: in
         found = list(links_of([np.frombuffer(x.as_buffer(), U) for x in t["s"].combine_chunks()], percent, None if (side < 0).all() else side))
         return pa.table([pa.array([fp[a] for a, _ in found], pa.int64()), pa.array([fp[b] for _, b in found], pa.int64())], schema=schema)
 
-    return m.join(sets, "fp").groupBy("cluster", "g1", "i", "g2", "j").applyInArrow(join, "a long, b long")
+    return m.join(sets.select("fp", "s"), "fp").groupBy("cluster", "g1", "i", "g2", "j").applyInArrow(join, "a long, b long")
 
 
 def op8_jaccard_join(spark, sf_dir):
