@@ -7,14 +7,18 @@ from .embeddings import op1_embedding_near_dedup
 from .jaccard import OP8_SQL, op8_jaccard_join
 from .licenses import op4_scan_licenses
 from .mixing import op7_mix_sources
+from .quality import op6_quality
 from .substrings import OP2_SQL, op2_substring_dedup
+from .toxicity import op3_toxicity
 from .warc import op10_warc_round_trip
 
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_scan_licenses": op4_scan_licenses,
     "op5_decontaminate": op5_decontaminate,
+    "op6_quality": op6_quality,
     "op7_mix_sources": op7_mix_sources,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_warc_round_trip": op10_warc_round_trip,
