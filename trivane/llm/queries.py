@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .decontaminate import OP5_SQL, op5_decontaminate
 from .embeddings import op1_embedding_near_dedup
 from .jaccard import OP8_SQL, op8_jaccard_join
 from .licenses import op4_scan_licenses
 from .mixing import op7_mix_sources
+from .pii import op9_pii
 from .quality import op6_quality
 from .substrings import OP2_SQL, op2_substring_dedup
 from .toxicity import op3_toxicity
@@ -21,8 +24,10 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_mix_sources": op7_mix_sources,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_pii": op9_pii,
     "op10_warc_round_trip": op10_warc_round_trip,
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": OP2_SQL,
     "op5_decontaminate": OP5_SQL,
