@@ -327,9 +327,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = 4, percent: int = 85) -> Data
         classes = written(nodes.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "jaccard-classes")
         ends = merged.select(F.col("a").alias("fp")).union(merged.select("b")).distinct()
         wanted = written(ends.join(classes, "fp"), "jaccard-wanted")
-        sets = written(_sets_of(docs, wanted, shingle, percent, levels), "jaccard-sets")
-        if sets.count() > wanted.count():  # repeated rows
-            sets = written(sets.dropDuplicates(["fp"]), "jaccard-sets")
+        sets = _sets_of(docs, wanted, shingle, percent, levels)
         head = lambda c: sets.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col("q").alias(f"q{c}"))
         side = lambda c: sets.select(F.col("fp").alias(c), F.col("s").alias(f"s{c}"))
         near = pairs.join(head("b"), "b").join(head("a"), "a").select("a", "b", "na", "nb", "qa", "qb")
@@ -354,7 +352,8 @@ def _known_ids(wanted: DataFrame) -> np.ndarray:
     def run(batches):
         seen = np.zeros(WIDTH, np.uint16)
         for b in batches:
-            seen[_slot(b.column(0))] = 1
+            for at in _slots(b.column(0)):
+                seen[at] = 1
         parts = seen.reshape(SLICES, -1)
         keep = [k for k in range(SLICES) if parts[k].any()]
         if keep:
@@ -363,15 +362,17 @@ def _known_ids(wanted: DataFrame) -> np.ndarray:
     return _levels(wanted.select("doc_id").mapInArrow(run, "slice int, counts binary")) > 0
 
 
-def _slot(ids: pa.Array) -> np.ndarray:
-    return (mix(ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(U)) & U(WIDTH - 1)).astype(np.int64)
+def _slots(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each identifier in the filter."""
+    h = mix(ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(U))
+    return (h & U(WIDTH - 1)).astype(np.int64), ((h >> U(32)) & U(WIDTH - 1)).astype(np.int64)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, percent: int, levels) -> DataFrame:
-    """(fp, n, q, s) with each wanted node's size, short lists and set, from its document of smallest doc_id.
+    """(fp, n, q, s): size, short lists and set of each wanted node, from its document of smallest doc_id.
 
-    A filter of fixed size passes over documents that are not wanted where they are read, so only
-    sets of wanted ones travel.
+    A filter of fixed size passes over documents that are not wanted where they are read. The few
+    others that it lets pass do no harm: nothing asks for their nodes.
     """
     schema = pa.schema([("id", pa.int64()), ("f", pa.int64()), ("n", pa.int64()), ("q", pa.binary()), ("s", pa.binary())])
     known = docs.sparkSession.sparkContext.broadcast(_known_ids(wanted))
@@ -380,7 +381,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, percent: int, lev
         level = levels.value
         for b in batches:
             ids = b.column(b.schema.get_field_index("doc_id"))
-            at = pa.array(np.flatnonzero(known.value[_slot(ids)]))
+            one, two = _slots(ids)
+            at = pa.array(np.flatnonzero(known.value[one] & known.value[two]))
             b, ids = b.take(at), ids.take(at).to_pylist()
             rows, size = [], 0
             for i, s, _ in _sets(b, shingle):
@@ -393,9 +395,14 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, percent: int, lev
             if rows:
                 yield _batch(schema, *zip(*rows, strict=True))
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "id long, f long, n long, q binary, s binary")
-    w = wanted.select("fp", "doc_id")
-    return found.join(w, (found.f == w.fp) & found.id.eqNullSafe(w.doc_id)).select("fp", "n", "q", "s")
+    found = written(docs.select("doc_id", "text").mapInArrow(run, "id long, f long, n long, q binary, s binary"), "jaccard-sets")
+    # Nodes met in several documents (copies that the filter let pass, repeated rows) keep one.
+    twice = found.groupBy("f").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("first")).where("rows > 1")
+    if not twice.isEmpty():
+        twice = written(twice.select(F.col("f").alias("t"), "first"), "jaccard-twice")
+        many = found.join(twice, found.f == twice.t).where(F.col("id").eqNullSafe(F.col("first"))).dropDuplicates(["f"]).select("f", "n", "q", "s")
+        found = written(found.join(twice, found.f == twice.t, "left_anti").select("f", "n", "q", "s").union(many), "jaccard-sets")
+    return found.select(F.col("f").alias("fp"), "n", "q", "s")
 
 
 def _block_links(hot: DataFrame, wanted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
