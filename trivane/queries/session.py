@@ -91,8 +91,9 @@ R("m1_opcode_classes", f"WITH {RECORDS} SELECT pos, {_CLS} AS cls, {_CLS} IN ('C
     lambda s, d: records(s, d).select("pos", ss.opcode_class(F.col("opcode")).alias("cls")).withColumn("control", ss.control_plane(F.col("cls"))))
 
 
-def dims(spark):
-    ses = spark.range(1_000_000).where("id % 10 <> 9").select(F.col("id").alias("session_id"), (F.col("id") % 25).alias("s_tenant"), (F.col("id") % 3 * 100).alias("floor"), (F.col("id") % 8).alias("assertion"), (F.col("id") % 4).alias("delegation"), (F.col("id") % 16).alias("observability"))
+def dims(spark, sf_dir):
+    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("id")).distinct()
+    ses = users.where("id % 10 <> 9").select(F.col("id").alias("session_id"), (F.col("id") % 25).alias("s_tenant"), (F.col("id") % 3 * 100).alias("floor"), (F.col("id") % 8).alias("assertion"), (F.col("id") % 4).alias("delegation"), (F.col("id") % 16).alias("observability"))
     rows = spark.range(4).crossJoin(spark.createDataFrame([("SetValue",), ("Demand",)], "cls string")).select(F.col("id").alias("partition_id"), "cls", F.col("id").alias("r_assertion"), F.lit(0).cast("long").alias("r_delegation"), (F.col("id") * 2).alias("r_observability"))
     parts = spark.range(9).select(F.col("id").alias("partition_id"), (F.col("id") % 3).cast("int").alias("shard_id"))
     press = spark.createDataFrame([(0, 0), (1, 1500), (2, 6000)], "shard_id int, depth int")
@@ -109,7 +110,7 @@ ROUTED = f"""{RECORDS}, x AS (SELECT *, {_CLS} AS cls, CASE WHEN partition_id <
 
 
 def routed(spark, sf_dir):
-    return ss.route(records(spark, sf_dir), *dims(spark))
+    return ss.route(records(spark, sf_dir), *dims(spark, sf_dir))
 
 
 R("m2_route_record", f"WITH {ROUTED} SELECT pos, cls, outcome FROM rt")(lambda s, d: routed(s, d).select("pos", "cls", "outcome"))
@@ -255,6 +256,6 @@ R("q15_decision_helpers", f"WITH {ROUTED} SELECT decision <> 'Drop' AS reaches,
 R("q16_table_crud", f"WITH {OPS}, x AS (SELECT node, max_by(op, seq) AS op, max_by(k, seq) AS k FROM ops WHERE op IN (1, 6) GROUP BY node) SELECT node, k FROM x WHERE op = 1")(
     lambda s, d: oplog.latest(ops(s, d).where("op in (1, 6)").select("node", "seq", "op", "k"), "node").where("op = 1").select("node", "k"))
 R("q18_pipeline", f"WITH {CHECKED}, c AS (SELECT pos FROM chk WHERE error IS NULL), {ROUTED[len(RECORDS) + 2:]} SELECT outcome, count(*) AS n FROM rt JOIN c USING (pos) GROUP BY outcome")(
-    lambda s, d: ss.route(ss.header_errors(records(s, d)).where("error is null").drop("error"), *dims(s)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n")))
+    lambda s, d: ss.route(ss.header_errors(records(s, d)).where("error is null").drop("error"), *dims(s, d)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n")))
 R("q20_pending_messages", f"WITH {MSG} SELECT observer, count(*) FILTER (WHERE tick <= 5000 AND deliver_at > 5000) AS pending FROM msg GROUP BY observer")(
     lambda s, d: messages(s, d).groupBy("observer").agg(F.count_if((F.col("tick") <= 5000) & (F.col("deliver_at") > 5000)).alias("pending")))
