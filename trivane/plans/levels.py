@@ -33,7 +33,7 @@ def levels(edges: DataFrame, limit: int = STEP_LIMIT) -> DataFrame:
         open_ = e.join(done.select(F.col("node").alias("tgt")), "tgt", "left_anti")
         blocked = open_.join(done.select(F.col("node").alias("src")), "src", "left_anti").select("tgt").distinct()
         new = open_.select("tgt").distinct().join(blocked, "tgt", "left_anti").select(F.col("tgt").alias("node"), F.lit(step).alias("level"))
-        done = written(done.union(new), "levels")
+        done = written(done.union(new), "levels", replaces=done)
         now = done.count()
         if now == have:
             raise StepLimitExceeded(f"a cycle among {total - have} nodes")
@@ -67,7 +67,7 @@ def propagate(writes: DataFrame, rules: DataFrame, edges: DataFrame, limit: int
         c = c.union(force.join(targets.select(F.col("tgt").alias("node")), "node", "left_semi").select("node", "seq", "eval"))
         valued = c.withColumn("out", F.coalesce(F.last("eval", True).over(w), F.lit(-1)))
         new = oplog.changes_of(valued, "node", "out").withColumn("level", F.lit(k))
-        log = written(log.union(new.select("node", "seq", "old", "val", "level")), f"level-{k}")
+        log = written(log.union(new.select("node", "seq", "old", "val", "level")), f"level-{k}", replaces=log)
     return log
 
 
@@ -84,8 +84,7 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int, upstream: bool =
     for depth in range(1, max_depth + 1):
         last = seen.where(F.col("depth") == depth - 1)
         new = last.join(edges, last.node == edges[a]).select(F.col(b).alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth))
-        grown = written(seen.union(new), "closure")
-        if grown.where(F.col("depth") == depth).isEmpty():
+        seen = written(seen.union(new), "closure", replaces=seen)
+        if seen.where(F.col("depth") == depth).isEmpty():
             return seen
-        seen = grown
     return seen
