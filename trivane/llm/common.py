@@ -1,61 +1,22 @@
-"""Small helpers shared by the operators: tables, scratch space, cutting lineage."""
+"""Small helpers shared by the operators."""
 
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import scratch, written
+
+__all__ = ["LOWER", "UPPER", "WORD", "arrow_rows", "let", "lower_ascii", "partitions", "scratch", "written"]
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a temporary folder of this machine is set instead.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.trivane.scratch", None)
-    if not found:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="trivane-")
-        spark.conf.set("spark.trivane.scratch", found)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, gives true sizes."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path that nothing reads any more."""
-    sc = spark.sparkContext
-    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z alone."""
     return F.translate(c, UPPER, LOWER)

@@ -19,16 +19,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = written(both, "cc-edges")
-    state = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "cc")
+    state = table = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "cc")
     for _ in range(MAX_ROUNDS):
         label = state.select(F.col("node").alias("b"), "root")
         near = both.join(label, "b").groupBy("a").agg(F.min("root").alias("m"))
         step = state.join(near, state.node == near.a).select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         jump = state.select(F.col("node").alias("root"), F.col("root").alias("further"))
         step = step.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("further", "root")).alias("root"))
-        step = written(step, "cc")
-        changed = step.where("old <> root").limit(1).count()
-        state = step.select("node", "root")
-        if not changed:
+        table = written(step, "cc", replaces=last)
+        state = table.select("node", "root")
+        if table.where("old <> root").isEmpty():
             return state
     raise RuntimeError("components did not settle")

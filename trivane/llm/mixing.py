@@ -85,7 +85,7 @@ def balance(hist: DataFrame, targets: DataFrame, cap: int = 3) -> DataFrame:
         miss = F.abs(F.col("words") - F.col("target")) / F.greatest("target", F.lit(1.0))
         done = miss <= TOLERANCE
         step = step.select("source", "target", "mean", F.when(done, F.col("lam")).when(inside, newton).otherwise(half).alias("lam"), "lo", "hi", miss.alias("miss"))
-        state = written(step, "mix")
+        state = written(step, "mix", replaces=state)
         worst = state.agg(F.max(F.when((F.col("hi") - F.col("lo") > 1e-9) & (F.col("lam") < 1e5), F.col("miss")))).first()[0]
         if worst is None or worst <= TOLERANCE:
             break
