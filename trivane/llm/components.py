@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         step = state.join(near, state.node == near.a).select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         jump = state.select(F.col("node").alias("root"), F.col("root").alias("further"))
         step = step.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("further", "root")).alias("root"))
-        table = written(step, "cc", replaces=last)
+        table = written(step, "cc", replaces=table)
         state = table.select("node", "root")
         if table.where("old <> root").isEmpty():
             return state
