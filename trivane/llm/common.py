@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..storage import scratch, written
 
-__all__ = ["LOWER", "UPPER", "WORD", "arrow_rows", "let", "lower_ascii", "partitions", "scratch", "written"]
+__all__ = ["LOWER", "UPPER", "WORD", "arrow_rows", "bound_batches", "let", "lower_ascii", "partitions", "scratch", "written"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,5 +39,15 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """For steps that run only when their result is read: lower the session's Arrow batches to ``rows``.
+
+    A batch of Spark's default 10,000 long texts takes a worker and its executor hundreds of megabytes.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 
 ROUNDS = 8
 #: For the registered queries. Give a secret of your own in production.
@@ -231,6 +233,7 @@ def pseudonymise(docs: DataFrame, key: bytes = EXAMPLE_KEY, make: Callable[[byte
     A null text stays null, an empty one empty; a text without personal data does not change. Equal rows
     stay equal. Columns of ``docs`` named n_pii or pii_kinds are replaced; an empty table stays empty.
     """
+    bound_batches(docs.sparkSession)
     keep = docs.drop("n_pii", "pii_kinds")
     schema = keep.withColumn("n_pii", F.lit(0)).withColumn("pii_kinds", F.lit("")).schema
 

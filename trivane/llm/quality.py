@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_rows, bound_batches
 from .jaccard import _batch
 from .textops import ALNUM, NOT_SPACE, chunks, mix, word_hashes, word_spans
 from .toxicity import crc_fold, cut_point, labelled_sample, sigmoid
@@ -155,6 +155,7 @@ def score_quality(docs: DataFrame, model: Discriminant) -> DataFrame:
     Only the text is looked at. A null text scores like an empty one. Repeated rows score alike; columns of
     ``docs`` named score or predicted are replaced; an empty table stays empty.
     """
+    bound_batches(docs.sparkSession)
     keep = docs.drop("score", "predicted")
     cast = keep.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, partitions, written
+from .common import arrow_rows, bound_batches, partitions, written
 from .jaccard import _batch
 from .textops import U, chunks, grams, mix, word_hashes, word_spans
 
@@ -309,6 +309,7 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     shorter than a window are kept. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    bound_batches(spark, ROWS)
     p = partitions(spark)
     parts = 4 * p
     levels = lengths(window)

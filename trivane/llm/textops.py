@@ -3,7 +3,7 @@
 A column's bytes are hashed at once: prefix sums of a polynomial modulo 2^64 give the hash of any byte
 range, so a word costs a few array operations and no Python object. Word hashes are mixed, and an
 n-gram's hash is a mixed weighted sum of its words' hashes; it does not depend on what separates the
-words. Columns are cut into chunks of about a megabyte (a longer text is a chunk of its own), which
+words. Columns are cut into chunks of about half a megabyte (a longer text is a chunk of its own), which
 bounds memory whatever the batch.
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _rng = np.random.Generator(np.random.PCG64(20240917))
 _BYTE = _rng.integers(1, 1 << 64, 256, dtype=np.uint64, endpoint=False)
 _P = U(0x9E3779B97F4A7C15 | 1)

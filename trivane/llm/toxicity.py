@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, written
+from .common import arrow_rows, bound_batches, written
 from .jaccard import _batch
 from .textops import ALNUM, U, chunks, word_hashes, word_spans
 
@@ -94,7 +94,7 @@ class FactorizationMachine:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.slots, slots), len(self.slots) - 1)
         hit = self.slots[at] == slots
-        both = np.unique(rows[hit] * len(self.slots) + at[hit])
+        both = np.unique(rows[hit].astype(np.int64) * len(self.slots) + at[hit])
         return both // len(self.slots), both % len(self.slots)
 
 
@@ -108,14 +108,16 @@ def fit(sets: list[np.ndarray], y: np.ndarray) -> FactorizationMachine:
     none = FactorizationMachine(np.zeros(0, np.int64), float(np.log((pos + 0.5) / (n - pos + 0.5))), np.zeros(0), np.zeros((0, FACTORS)))
     if not pos or pos == n:
         return none
-    rows, slots = np.repeat(np.arange(n), [len(s) for s in sets]), np.concatenate(sets)
-    terms, index, df = np.unique(slots, return_inverse=True, return_counts=True)
-    hit = np.bincount(index, y[rows].astype(float), len(terms))
+    rows, slots = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets]), np.concatenate(sets)
+    df = np.bincount(slots, minlength=SLOTS)
+    hit = np.bincount(np.concatenate([s for s, k in zip(sets, y, strict=True) if k]), minlength=SLOTS)
+    terms = np.flatnonzero(df >= LEAST_DOCS)
+    df, hit = df[terms].astype(float), hit[terms].astype(float)
     # Chi-squared of the two by two table of term and label.
     a, b, c = hit, df - hit, pos - hit
     d = n - pos - b
     chi2 = n * (a * d - b * c) ** 2 / np.maximum(df * (n - df) * float(pos) * (n - pos), 1e-9)
-    good = np.flatnonzero((df >= LEAST_DOCS) & (chi2 >= LEAST_CHI2))
+    good = np.flatnonzero(chi2 >= LEAST_CHI2)
     good = np.sort(good[np.lexsort((good, -chi2[good]))][:MOST_TERMS])
     if not len(good):
         return none
@@ -179,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     with arrow_rows(docs.sparkSession, 1000):
         sample = labelled_sample(docs, labels, label, folds, held, size).select("doc_id", "y", "text")
         got = sorted((r["doc_id"], r["y"], r["terms"]) for r in sample.mapInArrow(run, "doc_id long, y int, terms binary").collect())
-    sets = [np.frombuffer(zlib.decompress(x[2]), np.int32).astype(np.int64) for x in got]
+    sets = [np.frombuffer(zlib.decompress(x[2]), np.int32) for x in got]
     return fit_with_cut(sets, np.array([x[1] for x in got]))
 
 
@@ -189,6 +191,7 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     Only the text is looked at. A null, empty or wordless text scores the model's bias. Repeated rows score
     alike; columns of ``docs`` named score or predicted are replaced; an empty table stays empty.
     """
+    bound_batches(docs.sparkSession)
     keep = docs.drop("score", "predicted")
     cast = keep.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
 
