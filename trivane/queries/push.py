@@ -161,3 +161,12 @@ def materialization(spark, sf_dir):
     v = lazy_value(spark, sf_dir)
     v = v.withColumn("old", F.coalesce(F.lag("out").over(Window.partitionBy("sub").orderBy("seq")), F.lit(-1)))
     return v.groupBy("sub").agg((F.count_if(F.col("old") != F.col("out")).cast("double") / F.count(F.lit(1))).alias("ratio"))
+
+
+@R("f4_frontier_depth", f"""WITH RECURSIVE {_EDGES}, live AS (SELECT DISTINCT src, tgt FROM edges WHERE until_seq IS NULL),
+    r(node, depth) AS (SELECT (SELECT max(tgt) FROM live), 0 UNION SELECT src, depth + 1 FROM r JOIN live ON tgt = r.node WHERE depth < 3), m AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)
+    SELECT depth, count(*) AS width FROM m GROUP BY depth""")
+def frontier_depth(spark, sf_dir):
+    """How wide the demanded closure is at each depth."""
+    live = topology.edges(ops(spark, sf_dir)).where("until_seq IS NULL").select("src", "tgt").distinct()
+    return levels.closure(live, live.agg(F.max("tgt").alias("node")), 3).groupBy("depth").agg(F.count(F.lit(1)).alias("width"))

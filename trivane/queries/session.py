@@ -259,3 +259,114 @@ R("q18_pipeline", f"WITH {CHECKED}, c AS (SELECT pos FROM chk WHERE error IS NUL
     lambda s, d: ss.route(ss.header_errors(records(s, d)).where("error is null").drop("error"), *dims(s, d)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n")))
 R("q20_pending_messages", f"WITH {MSG} SELECT observer, count(*) FILTER (WHERE tick <= 5000 AND deliver_at > 5000) AS pending FROM msg GROUP BY observer")(
     lambda s, d: messages(s, d).groupBy("observer").agg(F.count_if((F.col("tick") <= 5000) & (F.col("deliver_at") > 5000)).alias("pending")))
+
+
+def coded(spark, sf_dir, code, schema):
+    """One row for each user, through a coder and back in Python."""
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame([(int(u), *code(int(u))) for u in b["user_id"]], columns=[c.split()[0] for c in schema.split(", ")])
+
+    return users.mapInPandas(run, schema)
+
+
+def _preamble(u):
+    p = codec.read_preamble(codec.preamble(u * 3, u, features=u % 4))
+    return p["path"], p["session"], p["features"]
+
+
+def _attrs(u):
+    f = {"node": u, "typ": "t", "rule": 0, "attrs": {"z": (2, u), "a": (6, u % 3 - 1), "m": (4, f"u{u}")}}
+    back = codec.decode(1, codec.encode(1, f))["attrs"]
+    return (",".join(f"{k}={v[1]}" for k, v in back.items()),)
+
+
+def _profile(u):
+    f = {"profile_id": u, "version": 1 + u % 2, "trust": 0, "assertion": u, "delegation": u + 1, "observability": u + 2, "disclosure": u + 3, "issuer": u % 25, "session": u, "generation": 1, "expiry": 9, "signature": b""}
+    p = codec.profile_decode(codec.profile_encode(f))
+    return p["assertion"], p["disclosure"], p["issuer"]
+
+
+_U = "SELECT DISTINCT user_id FROM events"
+R("l1_preamble", f"SELECT user_id, user_id * 3 AS path, user_id AS session, user_id % 4 AS features FROM ({_U})")(lambda s, d: coded(s, d, _preamble, "user_id long, path long, session long, features long"))
+R("l5_attr_codec", f"SELECT user_id, 'a=' || (user_id % 3 - 1) || ',m=u' || user_id || ',z=' || user_id AS attrs FROM ({_U})")(lambda s, d: coded(s, d, _attrs, "user_id long, attrs string"))
+R("l8_profiles", f"SELECT user_id, user_id AS assertion, CASE WHEN user_id % 2 = 1 THEN user_id + 3 ELSE user_id END AS disclosure, user_id % 25 AS issuer FROM ({_U})")(lambda s, d: coded(s, d, _profile, "user_id long, assertion long, disclosure long, issuer long"))
+
+#: Scenario graphs: name, rule, number of inputs, writes (input, value), final value.
+SCENARIOS = [("and_gate", "MeetAll", 2, [(0, 1), (1, 1)], 1), ("or_gate", "JoinAny", 2, [(0, 1)], -1), ("not_gate", "MvNeg", 1, [(0, 1)], -1), ("bochvar_chain", "Identity", 1, [(0, 1), (0, 0)], 0), ("majority", "Merge", 3, [(0, 1), (1, 1), (2, 1)], 1), ("lazy_demand", "MeetAll", 2, [(0, 1), (1, 0)], 0)]
+
+
+@R("l12_scenarios", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {v})" for n, _, _, _, v in SCENARIOS) + ") v(scenario, val)")
+def scenarios(spark, sf_dir):
+    """Six small graphs evaluated together."""
+    from ..plans import levels
+
+    edges = [(f"{n}/{i}", n) for n, _, k, _, _ in SCENARIOS for i in range(k)]
+    writes, seq = [], 0
+    for n, _, _, ws, _ in SCENARIOS:
+        for i, v in ws:
+            seq += 1
+            writes.append((seq, f"{n}/{i}", v))
+    log = levels.propagate(spark.createDataFrame(writes, "seq long, node string, val int"), spark.createDataFrame([(n, r) for n, r, *_ in SCENARIOS], "node string, rule string"), spark.createDataFrame(edges, "src string, tgt string"))
+    last = log.groupBy("node").agg(F.max_by("val", "seq").alias("v"))
+    names = spark.createDataFrame([(n,) for n, *_ in SCENARIOS], "scenario string")
+    return names.join(last, names.scenario == last.node, "left").select("scenario", F.coalesce("v", F.lit(-1)).alias("val"))
+
+
+def _le(c):
+    """Eight little-endian bytes of a long, in hex."""
+    big = F.lpad(F.hex(c), 16, "0")
+    return F.lower(F.concat(*[F.substring(big, 15 - 2 * i, 2) for i in range(8)]))
+
+
+_LE = "(SELECT string_agg(h[15 - 2 * i:16 - 2 * i], '' ORDER BY i) FROM (SELECT lpad(printf('%x', {0}), 16, '0') AS h), range(0, 8) r(i))"
+R("m10_signing_payload", f"SELECT user_id, {_LE.format('user_id * 1000003')} || {_LE.format('user_id')} AS payload FROM ({_U})")(
+    lambda s, d: table(s, d, "events").select("user_id").distinct().select("user_id", F.concat(_le(F.col("user_id") * 1000003), _le(F.col("user_id"))).alias("payload")))
+R("q3_counter_reads", f"WITH {OPS}, l AS (SELECT node % 10 AS grp, node, max_by(val, seq) AS val FROM ops WHERE op = 3 GROUP BY node) SELECT grp, count(*) FILTER (WHERE val = -1) AS neg, count(*) FILTER (WHERE val = 0) AS zero, count(*) FILTER (WHERE val = 1) AS pos FROM l GROUP BY grp")(
+    lambda s, d: ops(s, d).where("op = 3").groupBy("node").agg(F.max_by("val", "seq").alias("val")).groupBy((F.col("node") % 10).alias("grp")).agg(*[F.count_if(F.col("val") == k).alias(n) for k, n in ((-1, "neg"), (0, "zero"), (1, "pos"))]))
+R("q1_attr_reads", f"WITH {OPS} SELECT node, max_by(val, seq) FILTER (WHERE k % 3 = 0) AS k0, max_by(val, seq) FILTER (WHERE k % 3 = 1) AS k1 FROM ops WHERE op = 3 GROUP BY node")(
+    lambda s, d: ops(s, d).where("op = 3").groupBy("node").agg(*[F.max_by("val", F.when(F.col("k") % 3 == i, F.col("seq"))).alias(f"k{i}") for i in (0, 1)]))
+R("q5_partition_lookup", f"WITH {OPS}, p AS (SELECT node AS part, max_by(k, seq) AS lattice FROM ops WHERE op IN (12, 14) GROUP BY node) SELECT b.node, lattice FROM (SELECT node, max_by(k % 7, seq) AS part FROM ops WHERE op = 13 GROUP BY node) b LEFT JOIN p ON p.part = b.part")(
+    lambda s, d: ops(s, d).where("op = 13").groupBy("node").agg(F.max_by(F.expr("k % 7"), "seq").alias("part")).join(ops(s, d).where("op in (12, 14)").groupBy(F.col("node").alias("part")).agg(F.max_by("k", "seq").alias("lattice")), "part", "left").select("node", "lattice"))
+R("q6_element_counts", f"WITH {OPS} SELECT op, count(*) AS n, count(DISTINCT node) AS nodes FROM ops WHERE op IN (1, 2, 6, 7) GROUP BY op")(
+    lambda s, d: ops(s, d).where("op in (1, 2, 6, 7)").groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("node").alias("nodes")))
+R("q8_policy_defaults", "SELECT * FROM (VALUES ('strategy', 'FullL3'), ('domain', 'Inherit'), ('iterations', '256'), ('convergence', 'Canonical'), ('priority', 'Normal'), ('retry', 'Fail')) v(setting, value)")(
+    lambda s, d: s.createDataFrame([("strategy", "FullL3"), ("domain", "Inherit"), ("iterations", "256"), ("convergence", "Canonical"), ("priority", "Normal"), ("retry", "Fail")], "setting string, value string"))
+R("q10_idle_nodes", f"WITH {OPS} SELECT node, max(seq) FILTER (WHERE op = 3) < (SELECT max(seq) FROM ops) - 2000 AS idle FROM ops WHERE op = 3 GROUP BY node")(
+    lambda s, d: ops(s, d).where("op = 3").groupBy("node").agg(F.max("seq").alias("last")).join(F.broadcast(ops(s, d).agg(F.max("seq").alias("top"))), how="cross").select("node", (F.col("last") < F.col("top") - 2000).alias("idle")))
+R("q11_pin_names", f"SELECT user_id, 'pin_' || user_id AS symbol FROM ({_U})")(lambda s, d: table(s, d, "events").select("user_id").distinct().select("user_id", F.concat(F.lit("pin_"), F.col("user_id").cast("string")).alias("symbol")))
+R("q17_runtime_events", f"WITH {RECORDS} SELECT session_id, max(pos) FILTER (WHERE opcode = 256) AS path, count(*) FILTER (WHERE opcode = 11) AS budget_events FROM rec GROUP BY session_id")(
+    lambda s, d: records(s, d).groupBy("session_id").agg(F.max(F.when(F.col("opcode") == 256, F.col("pos"))).alias("path"), F.count_if(F.col("opcode") == 11).alias("budget_events")))
+R("q19_trust_levels", f"WITH {OPS} SELECT seq, (['Advisory', 'Asserted', 'Attested'])[k % 3 + 1] AS trust FROM ops WHERE op = 13")(
+    lambda s, d: ops(s, d).where("op = 13").select("seq", F.element_at(F.array(F.lit("Advisory"), F.lit("Asserted"), F.lit("Attested")), (F.col("k") % 3 + 1).cast("int")).alias("trust")))
+
+
+@R("p1_builder", "SELECT * FROM (VALUES ('ready', 1), ('quorum', 1), ('alarm', -1), ('lazy', 0)) v(name, val)")
+def builder(spark, sf_dir):
+    """The Python builder: inputs, computed nodes, writes, a demand."""
+    from ..graph import FLAGS, Graph
+
+    g = Graph(spark)
+    ins = [g.input(f"i{k}") for k in range(3)]
+    made = {"ready": g.computed("ready", "and"), "quorum": g.computed("quorum", "majority"), "alarm": g.computed("alarm", "not"), "lazy": g.computed("lazy", "or", lazy=True)}
+    for i in ins:
+        g.connect(i, made["quorum"])
+        g.set(i, True)
+    g.connect(ins[0], made["ready"])
+    g.connect(ins[1], made["alarm"])
+    late = g.input("late")
+    g.connect(late, made["lazy"])
+    g.set(ins[0], True)
+    for i in ins[:2]:
+        g.set(i, True)
+    g.set(late, False)
+    values = g.changes().groupBy("node").agg(F.max_by("val", "seq").alias("val"))
+    names = spark.createDataFrame([(h.id, n) for n, h in made.items() if n != "lazy"], "node long, name string")
+    eager = names.join(values, "node", "left").select("name", F.coalesce("val", F.lit(-1)).alias("val"))
+    return eager.union(spark.createDataFrame([("lazy", FLAGS[g.demand(made["lazy"])])], "name string, val int"))
+
+
+R("p6_counts", f"WITH {OPS} SELECT count(DISTINCT node) FILTER (WHERE op = 1) AS nodes, count(*) FILTER (WHERE op = 2) - count(*) FILTER (WHERE op = 7) AS edges FROM ops")(
+    lambda s, d: ops(s, d).agg(F.count_distinct(F.when(F.col("op") == 1, F.col("node"))).alias("nodes"), (F.count_if(F.col("op") == 2) - F.count_if(F.col("op") == 7)).alias("edges")))
