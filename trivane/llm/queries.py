@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .decontaminate import OP5_SQL, op5_decontaminate
-from .embeddings import op1_embedding_near_dedup
+from .embeddings import OP1_SQL, op1_embedding_near_dedup
 from .jaccard import OP8_SQL, op8_jaccard_join
 from .licenses import op4_scan_licenses
 from .mixing import op7_mix_sources
@@ -29,6 +29,7 @@ QUERIES = {
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {
+    "op1_embedding_near_dedup": OP1_SQL,
     "op2_substring_dedup": OP2_SQL,
     "op5_decontaminate": OP5_SQL,
     "op8_jaccard_join": OP8_SQL,
