@@ -337,6 +337,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = 4, percent: int = 85) -> Data
         if not hot.isEmpty():
             links = links.union(_block_links(hot, wanted, sets, percent))
         links = written(links, "jaccard-links")
+        levels.destroy()
     roots = components(links)
     known = classes.join(roots, classes.fp == roots.node, "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     smallest = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -396,6 +397,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, percent: int, lev
                 yield _batch(schema, *zip(*rows, strict=True))
 
     found = written(docs.select("doc_id", "text").mapInArrow(run, "id long, f long, n long, q binary, s binary"), "jaccard-sets")
+    known.destroy()
     # Nodes met in several documents (copies that the filter let pass, repeated rows) keep one.
     twice = found.groupBy("f").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("first")).where("rows > 1")
     if not twice.isEmpty():

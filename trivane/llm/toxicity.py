@@ -98,6 +98,12 @@ class FactorizationMachine:
         return both // len(self.slots), both % len(self.slots)
 
 
+    def kept_of(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """``kept`` of whole documents, some at a time."""
+        parts = [self.kept(np.repeat(np.arange(k, min(k + 500, len(sets))), [len(s) for s in sets[k : k + 500]]), np.concatenate(sets[k : k + 500])) for k in range(0, len(sets), 500)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -108,9 +114,11 @@ def fit(sets: list[np.ndarray], y: np.ndarray) -> FactorizationMachine:
     none = FactorizationMachine(np.zeros(0, np.int64), float(np.log((pos + 0.5) / (n - pos + 0.5))), np.zeros(0), np.zeros((0, FACTORS)))
     if not pos or pos == n:
         return none
-    rows, slots = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets]), np.concatenate(sets)
-    df = np.bincount(slots, minlength=SLOTS)
-    hit = np.bincount(np.concatenate([s for s, k in zip(sets, y, strict=True) if k]), minlength=SLOTS)
+    df, hit = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+    for s, k in zip(sets, y, strict=True):  # a set holds a slot once
+        df[s] += 1
+        if k:
+            hit[s] += 1
     terms = np.flatnonzero(df >= LEAST_DOCS)
     df, hit = df[terms].astype(float), hit[terms].astype(float)
     # Chi-squared of the two by two table of term and label.
@@ -122,7 +130,7 @@ def fit(sets: list[np.ndarray], y: np.ndarray) -> FactorizationMachine:
     if not len(good):
         return none
     model = FactorizationMachine(terms[good], none.w0, np.zeros(len(good)), np.random.default_rng(5).normal(0, 0.05, (len(good), FACTORS)))
-    r, t = model.kept(rows, slots)
+    r, t = model.kept_of(sets)
     order = np.argsort(t, kind="stable")
     cut = np.searchsorted(t[order], np.arange(len(good)))
     by_row = np.searchsorted(r, np.arange(n))
@@ -160,8 +168,7 @@ def fit_with_cut(sets: list[np.ndarray], y: np.ndarray) -> FactorizationMachine:
     for half in (0, 1):
         learn, judge = np.flatnonzero(np.arange(len(y)) % 2 != half), np.flatnonzero(np.arange(len(y)) % 2 == half)
         m = fit([sets[i] for i in learn], y[learn])
-        rows, slots = np.repeat(np.arange(len(judge)), [len(sets[i]) for i in judge]), np.concatenate([sets[i] for i in judge])
-        z[judge] = m.logits(*m.kept(rows, slots), len(judge)) if len(m.slots) else m.w0
+        z[judge] = m.logits(*m.kept_of([sets[i] for i in judge]), len(judge)) if len(m.slots) else m.w0
     model.shift = float(np.log(CUT / (1 - CUT)) - cut_point(z, y, FALSE_POSITIVE))
     return model
 
