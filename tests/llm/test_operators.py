@@ -221,6 +221,24 @@ def test_pseudonyms_keep_format_and_link():
     assert p.value("date", "29.02.1980") == ".".join(reversed(p.value("date", "1980-02-29").split("-")))
 
 
+@pytest.mark.parametrize("unit", ["aB3-", "0f3a", "Zz9._/+q"])
+def test_secrets_are_replaced_to_their_end(unit):
+    p, secret = pii.Pseudonyms(b"one"), unit * 101
+    text, spans = p.rewrite(f"token={secret} end")
+    new = text.removeprefix("token=").removesuffix(" end")
+    assert spans == [("secret", 6, 6 + len(secret))] and len(new) == len(secret)
+    assert sum(a == b for a, b in zip(new[250:], secret[250:], strict=True) if b.isalnum()) < len(secret[250:]) / 3
+    other = p.value("secret", secret[:-1] + ("1" if secret[-1].isdigit() else "b" if secret[-1].isalpha() else "-"))
+    assert p.value("secret", secret) == new and (secret[-1] == "-" or sum(a == b for a, b in zip(other, new, strict=True)) < len(new) * 0.6)
+    assert all(x.isdigit() == y.isdigit() and x.isupper() == y.isupper() for x, y in zip(new, secret, strict=True)) or unit == "0f3a"
+
+
+def test_secrets_of_json_keys():
+    p = pii.Pseudonyms(b"one")
+    for text in ('{"password": "hunter2hunter2"}', "{'api_key':'hunter2hunter2'}", 'TOKEN" = hunter2hunter2'):
+        assert "hunter2" not in p.rewrite(text)[0] and len(p.rewrite(text)[0]) == len(text)
+
+
 def test_bundles_are_seekable(tmp_path):
     import zstandard
 

@@ -28,6 +28,8 @@ from .common import bound_batches
 
 
 ROUNDS = 8
+#: Longer values are permuted in blocks of so many characters.
+BLOCK = 256
 #: For the registered queries. Give a secret of your own in production.
 EXAMPLE_KEY = b"trivane example key"
 
@@ -105,7 +107,7 @@ SECRET_WORD = r"(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)
 #: (kind, pattern) in order of precedence; the group named v, or the whole match, is replaced.
 PATTERNS = [
     ("email", r"(?<![A-Za-z0-9._%+-])(?P<v>[A-Za-z0-9._%+-]{1,64})@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"),
-    ("secret", SECRET_WORD + r"[ \t]{0,4}[=:][ \t]{0,4}[\"']?(?P<v>[A-Za-z0-9_+/.-]{6,256})"),
+    ("secret", SECRET_WORD + r"[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?(?P<v>[A-Za-z0-9_+/.-]{6,})"),
     ("access_key", r"(?<![A-Za-z0-9])AKIA(?P<v>[A-Z0-9]{16})(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"),
     ("ip", r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)"),
@@ -129,8 +131,23 @@ class Pseudonyms:
         return str(self.network(kind, 10 ** len(digits)).permute(int(digits))).zfill(len(digits))
 
     def _classes(self, kind: str, s: str) -> str:
-        """Digits and letters permuted as one number, each place staying in its class; case is kept."""
-        if kind == "secret" and len(s) >= 8 and re.fullmatch(r"[0-9a-f]*[a-f][0-9a-f]*", s):
+        """Digits and letters permuted as one number, each place staying in its class; case is kept.
+
+        Blocks of a longer value are chained forwards, then backwards: every block depends on all of it.
+        """
+        hexed = kind == "secret" and len(s) >= 8 and re.fullmatch(r"[0-9a-f]*[a-f][0-9a-f]*", s) is not None
+        if len(s) <= BLOCK:
+            return self._block(kind, s, hexed)
+        parts = [s[i : i + BLOCK] for i in range(0, len(s), BLOCK)]
+        for way in (1, -1):
+            before = ""
+            for i in range(len(parts))[::way]:
+                parts[i] = self._block(f"{kind} {len(s)} {way} {i} {before}", parts[i], hexed)
+                before = parts[i].lower()
+        return "".join(parts)
+
+    def _block(self, kind: str, s: str, hexed: bool) -> str:
+        if hexed:
             return format(self.network(f"{kind} hex", 16 ** len(s)).permute(int(s, 16)), "x").zfill(len(s))
         x, size = 0, 1
         sizes = [10 if c.isdigit() else 26 if c.isalpha() else 1 for c in s]
