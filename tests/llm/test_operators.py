@@ -239,6 +239,24 @@ def test_secrets_of_json_keys():
         assert "hunter2" not in p.rewrite(text)[0] and len(p.rewrite(text)[0]) == len(text)
 
 
+def test_dates_and_ibans_in_common_layouts():
+    p = pii.Pseudonyms(b"one")
+    day = p.value("date", "1999-12-25")
+    y, m, d = day.split("-")
+    for text, new in (("1999-12-25T10:11:12Z", f"{day}T10:11:12Z"), ("1999-12-25t10", f"{day}t10"), ("1999/12/25", f"{y}/{m}/{d}"), ("25/12/1999", f"{d}/{m}/{y}"), ("12/25/1999", f"{m}/{d}/{y}"), ("25.12.1999", f"{d}.{m}.{y}")):
+        assert p.rewrite(f"on {text} then")[0] == f"on {new} then"
+    assert all(p.rewrite(x)[0] == x for x in ("2021/13/45", "30/02/1999", "31/31/1999", "a/2021/03/04/b", "1999-12-25Tx"))
+    days = [f"{a}/{b}/1999" for a in range(1, 32) for b in range(1, 13) if b < 12 or a < 31] + [f"{b}/{a}/1999" for a in range(13, 32) for b in range(1, 13)]
+    news = {x: p.value("date", x) for x in days}
+    assert len({y for y in news.values() if y}) == sum(1 for y in news.values() if y)
+    assert all((int(x.split("/")[0]) > 12) == (int(y.split("/")[0]) > 12) for x, y in news.items() if y)
+    for iban in ("DE89 3704 0044 0532 0130 00", "ES91 2100 0418 4502 0005 1332", "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947", "BE68 5390 0754 7034"):
+        new, plain = p.value("iban", iban), p.value("iban", iban.replace(" ", ""))
+        assert new.replace(" ", "") == plain != iban.replace(" ", "") and [c == " " for c in new] == [c == " " for c in iban]
+        for after in ("", ".", " BANK", " EUR 5", " AB", " CODE WORD 1234"):
+            assert p.rewrite(f"to {iban}{after}")[0] == f"to {new}{after}"
+
+
 def test_bundles_are_seekable(tmp_path):
     import zstandard
 

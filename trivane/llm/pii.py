@@ -89,6 +89,26 @@ def iban_valid(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+#: Characters of an IBAN by country: where groups of four end if more words follow.
+IBAN_LENGTH = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 "
+    "HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 "
+    "QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30").split()}
+
+
+def iban_end(s: str) -> int:
+    """Where the IBAN ends at whose start ``s`` is: groups of four may have taken in words after it."""
+    words = s.split(" ")
+    ends = [len(" ".join(words[:k])) for k in range(len(words), 0, -1)] if len(words) > 1 else [len(s)]
+    known = IBAN_LENGTH.get(s[:2])
+    for end in ends:
+        plain = s[:end].replace(" ", "")
+        if len(plain) == known if known and len(words) > 1 else len(plain) >= 15:
+            if iban_valid(plain):
+                return end
+    return len(s)
+
+
 def _refill(layout: str, digits: str) -> str:
     """``digits`` in the places of the digits of ``layout``."""
     rest = iter(digits)
@@ -109,9 +129,9 @@ PATTERNS = [
     ("email", r"(?<![A-Za-z0-9._%+-])(?P<v>[A-Za-z0-9._%+-]{1,64})@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"),
     ("secret", SECRET_WORD + r"[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?(?P<v>[A-Za-z0-9_+/.-]{6,})"),
     ("access_key", r"(?<![A-Za-z0-9])AKIA(?P<v>[A-Z0-9]{16})(?![A-Za-z0-9])"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"),
     ("ip", r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)"),
-    ("date", r"(?<![\w.-])\d{4}-\d{2}-\d{2}(?![\w-])|(?<![\w./])\d{1,2}\.\d{1,2}\.\d{4}(?!\w|\.\d)|(?<![\w./])\d{1,2}/\d{1,2}/\d{4}(?![\w/])"),
+    ("date", r"(?<![\w.-])\d{4}-\d{2}-\d{2}(?=[Tt]\d{2}|(?![\w-]))|(?<![\w./-])\d{4}/\d{1,2}/\d{1,2}(?=[Tt]\d{2}|(?![\w/]))|(?<![\w./])\d{1,2}\.\d{1,2}\.\d{4}(?!\w|\.\d)|(?<![\w./])\d{1,2}/\d{1,2}/\d{4}(?![\w/])"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("card", r"(?<![\w-])(?:\d{13,19}|\d{4}(?P<x>[ -])\d{4}(?P=x)\d{4}(?P=x)\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"),
     ("phone", r"(?<![\w+])(?:\+?1[ .-]?\(?[2-9]\d{2}\)?[ .-]?|\([2-9]\d{2}\)[ .-]?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]?\d{4}(?!\w)"),
@@ -172,11 +192,13 @@ class Pseudonyms:
             new = digits[0] + self._digits(f"card {digits[0]}", digits[1:-1])
             return _refill(s, new + str(luhn_digit(new)))
         if kind == "iban":
-            if not iban_valid(s):
+            plain = s.replace(" ", "")
+            if not iban_valid(plain):
                 return None
-            body = self._classes(f"iban {s[:2]}", s[4:])
+            body = self._classes(f"iban {s[:2]}", plain[4:])
             check = 98 - int("".join(str(int(c, 36)) for c in body + s[:2] + "00")) % 97
-            return f"{s[:2]}{check:02d}{body}"
+            new = iter(f"{s[:2]}{check:02d}{body}")
+            return "".join(c if c == " " else next(new) for c in s)
         if kind == "ip":
             parts = s.split(".")
             if any(int(p) > 255 or len(p) > 1 and p[0] == "0" for p in parts):
@@ -208,19 +230,24 @@ class Pseudonyms:
         if kind == "date":
             sep = "-" if "-" in s else "." if "." in s else "/"
             p = [int(x) for x in s.split(sep)]
-            y, m, d = p if sep == "-" else (p[2], p[1], p[0]) if sep == "." else (p[2], p[0], p[1])
+            first = s.index(sep) == 4  # the year
+            turned = sep == "." or sep == "/" and not first and p[0] > 12  # day before month
+            y, m, d = p if first else (p[2], p[1], p[0]) if turned else (p[2], p[0], p[1])
             try:
                 x = datetime.date(y, m, d).toordinal() - FIRST_DAY
             except ValueError:
                 return None
             if not 0 <= x < DAYS:
                 return None
+            # Days above 12 stay above 12, so that a slash date is read back in the order it was written in.
             t = datetime.date.fromordinal(self.network("date", DAYS).permute(x) + FIRST_DAY)
+            while (t.day > 12) != (d > 12):
+                t = datetime.date.fromordinal(self.network("date", DAYS).permute(t.toordinal() - FIRST_DAY) + FIRST_DAY)
             if sep == "-":
                 return t.isoformat()
-            wide = len(s) == 10
-            one, two = (t.day, t.month) if sep == "." else (t.month, t.day)
-            return f"{one:02d}{sep}{two:02d}{sep}{t.year}" if wide else f"{one}{sep}{two}{sep}{t.year}"
+            one, two = (t.day, t.month) if turned else (t.month, t.day)
+            pair = f"{one:02d}{sep}{two:02d}" if len(s) == 10 else f"{one}{sep}{two}"
+            return f"{t.year}{sep}{pair}" if first else f"{pair}{sep}{t.year}"
         raise ValueError(kind)
 
     def rewrite(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
@@ -232,6 +259,7 @@ class Pseudonyms:
                 continue
             for m in pattern.finditer(text):
                 a, b = m.span("v") if "v" in pattern.groupindex else m.span()
+                b = a + iban_end(text[a:b]) if kind == "iban" else b
                 if not any(a < y and x < b for x, y, _, _ in found) and (new := self.value(kind, text[a:b])) is not None:
                     found.append((a, b, kind, new))
         if not found:
