@@ -74,6 +74,37 @@ def hop(a: dict, b: dict):
     return F.when(a["region"] != b["region"], 16).when(a["pod"] != b["pod"], 8).when(a["rack"] != b["rack"], 4).when(a["leaf"] != b["leaf"], 2).otherwise(1)
 
 
+#: From the widest part of an address to the narrowest, and the hops between shards that first differ there.
+ADDRESS, HOPS = ("region", "pod", "rack", "leaf"), (16, 8, 4, 2)
+
+
+def _by_level(shards: DataFrame, value, name: str) -> DataFrame:
+    """``shards`` and {name}0 .. {name}4: an aggregate over those that share no part of the address, one, ... all.
+
+    Hops depend on the address alone, so a row an address level is all that is joined: no pairs of shards.
+    """
+    out = shards
+    for k in range(len(ADDRESS) + 1):
+        level = shards.groupBy(*ADDRESS[:k]).agg(value.alias(f"{name}{k}"))
+        out = out.join(level, list(ADDRESS[:k])) if k else out.join(F.broadcast(level), how="cross")  # one row
+    return out
+
+
+def fabric_metrics(shards: DataFrame) -> DataFrame:
+    """(a, radius, remote) of every shard: hops to the farthest other (null if alone), shards of other regions."""
+    d = _by_level(shards, F.count(F.lit(1)), "n")
+    radius = F.when(F.col("n4") > 1, 1)
+    for k, hops in reversed(list(enumerate(HOPS))):
+        radius = F.when(F.col(f"n{k}") > F.col(f"n{k + 1}"), hops).otherwise(radius)
+    return d.select(F.col("shard_id").alias("a"), radius.alias("radius"), (F.col("n0") - F.col("n1")).alias("remote"))
+
+
+def best_shards(shards: DataFrame, healthy) -> DataFrame:
+    """(a, best) of every shard: the nearest healthy one, of several the smallest identifier; no row if none is."""
+    d = _by_level(shards, F.min(F.when(healthy, F.col("shard_id"))), "m")
+    return d.select(F.col("shard_id").alias("a"), F.coalesce("m4", "m3", "m2", "m1", "m0").alias("best")).where("best IS NOT NULL")
+
+
 def locality_class(hops):
     return F.when(hops == 1, 1).when(hops == 2, 3).when(hops == 4, 7).when(hops == 8, 15).otherwise(-1).cast("long")
 

@@ -185,16 +185,11 @@ def fabric(spark, sf_dir):
     return s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("s_suppkey").alias("shard_id"), F.col("n_regionkey").alias("region"), F.col("s_nationkey").alias("pod"), (F.col("s_suppkey") % 4).alias("rack"), (F.col("s_suppkey") % 3).alias("leaf"), "s_acctbal")
 
 
-def distances(spark, sf_dir):
-    """Every shard to ten fixed requesters."""
-    f = fabric(spark, sf_dir)
-    a = f.where("shard_id <= 10").select(*[F.col(c).alias(f"a_{c}") for c in ("shard_id", "region", "pod", "rack", "leaf")])
-    cols = ("region", "pod", "rack", "leaf")
-    return f.join(F.broadcast(a), how="cross").withColumn("hops", ss.hop({c: F.col(f"a_{c}") for c in cols}, {c: F.col(c) for c in cols}))  # ten rows at most
-
-
+# m17 and m20 answer the requesters up to 10 that their SQL asks for; m17_.._all and m20_.._all answer every shard.
 R("m17_fabric_metrics", f"WITH {FABRIC} SELECT a.shard_id AS a, max({_HOP}) FILTER (WHERE a.shard_id <> b.shard_id)::INT AS radius, count(*) FILTER (WHERE {_HOP} = 16) AS remote FROM fab a, fab b WHERE a.shard_id <= 10 GROUP BY 1")(
-    lambda s, d: distances(s, d).groupBy(F.col("a_shard_id").alias("a")).agg(F.max(F.when(F.col("shard_id") != F.col("a_shard_id"), F.col("hops"))).alias("radius"), F.count_if(F.col("hops") == 16).alias("remote")))
+    lambda s, d: ss.fabric_metrics(fabric(s, d)).where("a <= 10"))
+R("m17_fabric_metrics_all", f"WITH {FABRIC} SELECT a.shard_id AS a, max({_HOP}) FILTER (WHERE a.shard_id <> b.shard_id)::INT AS radius, count(*) FILTER (WHERE {_HOP} = 16) AS remote FROM fab a, fab b GROUP BY 1")(
+    lambda s, d: ss.fabric_metrics(fabric(s, d)))
 R("m16_shard_pick", f"WITH {FABRIC} SELECT coalesce((SELECT min(shard_id) FROM fab WHERE s_acctbal > 9000 AND region = 1), (SELECT min(shard_id) FROM fab WHERE s_acctbal > 5000), 0) AS shard_id")(
     lambda s, d: fabric(s, d).agg(F.coalesce(F.min(F.when((F.col("s_acctbal") > 9000) & (F.col("region") == 1), F.col("shard_id"))), F.min(F.when(F.col("s_acctbal") > 5000, F.col("shard_id"))), F.lit(0)).alias("shard_id")))
 R("m18_health", f"WITH {OPS} SELECT seq, CASE WHEN k % 50 = 0 THEN -1 WHEN k * 5 >= 500 THEN 0 ELSE 1 END AS health FROM ops")(
@@ -203,7 +198,9 @@ _H = "CASE WHEN k % 50 = 0 THEN -1 WHEN k * 5 >= 500 THEN 0 ELSE 1 END"
 R("m19_topology_transitions", f"WITH {OPS}, h AS (SELECT seq, node AS shard, {_H} AS health, coalesce(lag({_H}) OVER (PARTITION BY node ORDER BY seq), -1) AS old FROM ops) SELECT shard, seq, old, health FROM h WHERE old <> health")(
     lambda s, d: ss.transitions(ops(s, d).select("seq", F.col("node").alias("shard"), ss.health(F.col("k") * 5, F.when(F.col("k") % 50 == 0, 1).otherwise(0)).alias("health")), "shard", "health").select("shard", "seq", "old", "health"))
 R("m20_best_shard", f"WITH {FABRIC}, x AS (SELECT a.shard_id AS a, b.shard_id AS best, row_number() OVER (PARTITION BY a.shard_id ORDER BY {_HOP}, b.shard_id) AS r FROM fab a, fab b WHERE a.shard_id <= 10 AND b.s_acctbal > 0) SELECT a, best FROM x WHERE r = 1")(
-    lambda s, d: distances(s, d).where("s_acctbal > 0").groupBy(F.col("a_shard_id").alias("a")).agg(F.min(F.struct("hops", "shard_id")).alias("m")).select("a", F.col("m.shard_id").alias("best")))
+    lambda s, d: ss.best_shards(fabric(s, d), F.col("s_acctbal") > 0).where("a <= 10"))
+R("m20_best_shard_all", f"WITH {FABRIC}, x AS (SELECT a.shard_id AS a, b.shard_id AS best, row_number() OVER (PARTITION BY a.shard_id ORDER BY {_HOP}, b.shard_id) AS r FROM fab a, fab b WHERE b.s_acctbal > 0) SELECT a, best FROM x WHERE r = 1")(
+    lambda s, d: ss.best_shards(fabric(s, d), F.col("s_acctbal") > 0))
 R("m21_quiescence_streak", f"WITH {OPS}, g AS (SELECT *, count(*) FILTER (WHERE op IN (3, 4)) OVER (PARTITION BY node ORDER BY seq) AS grp FROM ops) SELECT node, seq, count(*) FILTER (WHERE op IN (10, 11)) OVER (PARTITION BY node, grp ORDER BY seq) AS streak FROM g")(
     lambda s, d: ss.streak(ops(s, d), "node", F.col("op").isin(10, 11), F.col("op").isin(3, 4)).select("node", "seq", "streak"))
 R("m22_profile_bootstrap", f"WITH {RECORDS} SELECT pos, session_id, row_number() OVER (PARTITION BY session_id ORDER BY pos) = 1 AS creates FROM rec WHERE opcode = 256")(
