@@ -8,6 +8,8 @@ from conftest import TABLES, same_rows
 from pyspark.sql import functions as F
 
 from trivane.operators import session as ss
+from trivane.operators import solve
+from trivane.plans import levels
 from trivane.queries import ORACLES, QUERIES
 
 WIDE = "/root/testdata/sf0.01"
@@ -37,3 +39,20 @@ def test_all_shards_of_a_larger_fabric(spark, wide):
     for name in ("m17_fabric_metrics", "m20_best_shard", "m17_fabric_metrics_all", "m20_best_shard_all"):
         a, b = same_rows(QUERIES[name](spark, WIDE), wide.execute(ORACLES[name]))
         assert a == b and len(a) == (100 if name.endswith("_all") else 11)
+
+
+def test_closures_run_to_their_end(spark, monkeypatch):
+    chain = spark.createDataFrame([(i + 1, i) for i in range(12)] + [(12, 12), (5, 12)], "src long, tgt long")  # with cycles
+    seeds = spark.createDataFrame([(0,)], "node long")
+    assert {r.node: r.depth for r in levels.closure(chain, seeds).collect()} == {i: i for i in range(13)}
+    contested = spark.createDataFrame([(i, 0) for i in range(9)] + [(9, 1)], "node long, val int")
+    assert {r.node: r.member for r in solve.section(contested, chain, seeds).collect()} == {i: i < 9 for i in range(10)}
+    monkeypatch.setattr(levels, "STEP_LIMIT", 5)
+    with pytest.raises(levels.StepLimitExceeded):
+        levels.closure(chain, seeds)
+
+
+@pytest.mark.parametrize("name", ["f2_demand_set_all", "f4_frontier_depth_all", "h5_section_all"])
+def test_whole_closures_of_a_larger_log(spark, wide, name):
+    a, b = same_rows(QUERIES[name](spark, WIDE), wide.execute(ORACLES[name]))
+    assert a == b and len(a) >= {"f2": 146, "f4": 2, "h5": 36}[name[:2]]

@@ -97,8 +97,11 @@ def compliance(roots: DataFrame) -> DataFrame:
     return g.select("region", outcome.alias("outcome"), F.when(ok, F.col("value")).alias("value"))
 
 
-def section(values: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """Upstream of ``seeds`` (node) through contested nodes: (node, member); others met are boundary pins."""
+def section(values: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """Upstream of ``seeds`` (node) through contested nodes: (node, member); others met are boundary pins.
+
+    Without ``depth`` the section ends where no contested node leads on.
+    """
     from ..plans.levels import closure
 
     into = edges.join(values.where("val = 0").select(F.col("node").alias("tgt")), "tgt")

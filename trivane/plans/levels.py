@@ -77,14 +77,21 @@ def amplification(log: DataFrame) -> DataFrame:
     return a.withColumn("ratio", F.try_divide(F.col("changes").cast("double"), F.col("updates")))
 
 
-def closure(edges: DataFrame, seeds: DataFrame, max_depth: int, upstream: bool = True) -> DataFrame:
-    """(node, depth) of all nodes reached from ``seeds`` (node) in at most ``max_depth`` steps, at least depth."""
+def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, upstream: bool = True) -> DataFrame:
+    """(node, depth) of all nodes reached from ``seeds`` (node) in at most ``max_depth`` steps, at least depth.
+
+    Without ``max_depth`` steps go on until no new node appears; more than ``STEP_LIMIT`` are an error.
+    """
     a, b = ("tgt", "src") if upstream else ("src", "tgt")
     seen = written(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "closure")
-    for depth in range(1, max_depth + 1):
+    if max_depth is None:
+        edges = written(edges.select("src", "tgt").distinct(), "closure-edges")
+    for depth in range(1, (STEP_LIMIT if max_depth is None else max_depth) + 1):
         last = seen.where(F.col("depth") == depth - 1)
         new = last.join(edges, last.node == edges[a]).select(F.col(b).alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth))
         seen = written(seen.union(new), "closure", replaces=seen)
         if seen.where(F.col("depth") == depth).isEmpty():
             return seen
+    if max_depth is None:
+        raise StepLimitExceeded(STEP_LIMIT)
     return seen

@@ -133,11 +133,29 @@ def lazy_value(spark, sf_dir):
     SELECT node, min(depth) AS depth FROM r GROUP BY node""")
 def demand_set(spark, sf_dir):
     """Demanding the last node that has inputs pulls its pending inputs, theirs, and so on, four steps deep."""
-    o = ops(spark, sf_dir)
+    pending, live = _pending(ops(spark, sf_dir))
+    return levels.closure(pending, live.agg(F.max("tgt").alias("node")), 4)
+
+
+def _pending(o):
+    """Live edges from pending nodes, and all live edges."""
     live = topology.edges(o).where("until_seq IS NULL").select("src", "tgt").distinct()
     set_ = o.where("op = 3").groupBy(F.col("node").alias("src")).agg(F.max_by("val", "seq").alias("val"))
-    pending = live.join(set_, "src", "left").where(F.coalesce("val", F.lit(-1)) == -1).select("src", "tgt")
-    return levels.closure(pending, live.agg(F.max("tgt").alias("node")), 4)
+    return live.join(set_, "src", "left").where(F.coalesce("val", F.lit(-1)) == -1).select("src", "tgt"), live
+
+
+# A shortest way meets each source once at most, so the recursion ends there in a graph with cycles as well.
+_DEMANDED = "(SELECT DISTINCT node, 0 FROM ops WHERE op = 8)"
+_FAR = "depth < (SELECT count(DISTINCT src) FROM live)"
+
+
+@R("f2_demand_set_all", f"""WITH RECURSIVE {_EDGES}, live AS (SELECT DISTINCT src, tgt FROM edges WHERE until_seq IS NULL), v AS (SELECT node, max_by(val, seq) AS val FROM ops WHERE op = 3 GROUP BY node),
+    r(node, depth) AS ({_DEMANDED} UNION SELECT src, depth + 1 FROM r JOIN live ON tgt = r.node LEFT JOIN v ON v.node = src WHERE coalesce(val, -1) = -1 AND {_FAR})
+    SELECT node, min(depth) AS depth FROM r GROUP BY node""")
+def demand_set_all(spark, sf_dir):
+    """All demanded nodes pull their pending inputs, theirs, and so on, until none is left."""
+    o = ops(spark, sf_dir)
+    return levels.closure(_pending(o)[0], o.where("op = 8").select("node"))
 
 
 R("f3_demand_unlock", F_SQL + " SELECT sub, seq, e > -2 AS evaluated FROM j WHERE e IS NOT NULL")(lambda s, d: evaluated(s, d).where("e IS NOT NULL").select("sub", "seq", (F.col("e") > -2).alias("evaluated")))
@@ -170,3 +188,13 @@ def frontier_depth(spark, sf_dir):
     """How wide the demanded closure is at each depth."""
     live = topology.edges(ops(spark, sf_dir)).where("until_seq IS NULL").select("src", "tgt").distinct()
     return levels.closure(live, live.agg(F.max("tgt").alias("node")), 3).groupBy("depth").agg(F.count(F.lit(1)).alias("width"))
+
+
+@R("f4_frontier_depth_all", f"""WITH RECURSIVE {_EDGES}, live AS (SELECT DISTINCT src, tgt FROM edges WHERE until_seq IS NULL),
+    r(node, depth) AS ({_DEMANDED} UNION SELECT src, depth + 1 FROM r JOIN live ON tgt = r.node WHERE {_FAR}), m AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)
+    SELECT depth, count(*) AS width FROM m GROUP BY depth""")
+def frontier_depth_all(spark, sf_dir):
+    """How wide the closure of all demanded nodes is at each depth, down to its end."""
+    o = ops(spark, sf_dir)
+    live = topology.edges(o).where("until_seq IS NULL").select("src", "tgt").distinct()
+    return levels.closure(live, o.where("op = 8").select("node")).groupBy("depth").agg(F.count(F.lit(1)).alias("width"))
