@@ -8,7 +8,7 @@ import pytest
 from conftest import SF, same_rows
 
 import corpus_pipeline
-from trivane.llm import licenses, pii, warc
+from trivane.llm import licenses, pii, toxicity, warc
 from trivane.llm.components import components
 from trivane.llm.decontaminate import contamination
 from trivane.llm.jaccard import jaccard_groups, links_of
@@ -285,6 +285,31 @@ def test_held_out_accuracy(spark, name, label, least):
     assert auc >= least and np.mean([b >= 0.7 for b in n]) <= 0.1
 
 
+def test_pairs_of_neutral_words_are_learned():
+    """Insult and group each occur as often in clean as in toxic documents; toxic is what has both."""
+    rng = np.random.default_rng(2)
+    sets, y = [], []
+    for k in range(3000):
+        words = rng.choice(np.arange(100, 4000), 40, replace=False)
+        both = k % 10 == 0
+        mark = [7, 11] if both else [[7], [11], []][int(rng.integers(3))]
+        sets.append(np.unique(np.concatenate([words, mark])).astype(np.int32))
+        y.append(int(both))
+    for _ in range(600):  # toxic by none of the words, so that each of the two is neutral alone
+        sets.append(np.unique(rng.choice(np.arange(100, 4000), 40, replace=False)).astype(np.int32))
+        y.append(1)
+    y = np.array(y)
+    for w in (7, 11):
+        has = np.array([w in s for s in sets])
+        assert toxicity.chi_squared(has.sum(), y[has].sum(), len(y), int(y.sum())) < toxicity.LEAST_CHI2
+    model = toxicity.fit(sets, y)
+    assert {7, 11} <= set(model.slots.tolist())
+    pad = np.arange(100, 140)
+    tests = [np.concatenate([m, pad]).astype(np.int32) for m in ([7, 11], [7], [11])]
+    z = model.logits(*model.kept_of(tests), 3)
+    assert z[0] > z[1:].max() + 2
+
+
 def test_pipeline_stage_by_stage(spark):
     """Each stage against a plain version of its rule, on its own input."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
