@@ -8,7 +8,7 @@ import pytest
 from conftest import SF, same_rows
 
 import corpus_pipeline
-from trivane.llm import licenses, pii, toxicity, warc
+from trivane.llm import licenses, mixing, pii, toxicity, warc
 from trivane.llm.components import components
 from trivane.llm.decontaminate import contamination
 from trivane.llm.jaccard import jaccard_groups, links_of
@@ -199,6 +199,17 @@ def test_mixing_meets_targets(spark):
     assert all(abs(s[0] - s[2]) <= s[4] for s in by.values()) and all(r.taken <= 3 * r["size"] for r in rows)
 
 
+def test_balance_solves_closely(spark):
+    rng = np.random.default_rng(4)
+    hist = [(f"s{k}", int(s), int(n)) for k in range(60) for s, n in zip(rng.choice(np.arange(1, 3000), 30, replace=False), rng.integers(1, 50, 30), strict=True)]
+    total = {k: sum(s * n for g, s, n in hist if g == k) for k, _, _ in hist}
+    targets = [(k, v, v * float(rng.uniform(0.2, 2.5))) for k, v in total.items()]
+    lam = {r.source: r for r in mixing.balance(spark.createDataFrame(hist, "source string, size long, n long"), spark.createDataFrame(targets, "source string, source_size long, target double")).collect()}
+    for k, _, target in targets:
+        words = sum(s * n * min(3.0, float(np.exp(min(50.0, lam[k].lam * s / lam[k].mean)))) for g, s, n in hist if g == k)
+        assert abs(words - target) <= 2e-7 * target
+
+
 def test_feistel_is_a_permutation():
     for size in (1, 2, 10, 1000):
         f = pii.Feistel(b"k", "t", size)

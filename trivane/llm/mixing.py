@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import WORD, written
 
 #: A step that lowers the largest relative miss below this ends the Newton iterations.
-TOLERANCE = 1e-5
+TOLERANCE = 1e-7
 MAX_STEPS = 60
 #: The threshold search splits its interval in so many parts, so many times.
 PARTS, ROUNDS = 256, 3
