@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from conftest import SF
 
+import corpus_pipeline
 from trivane.llm.decontaminate import contamination, decontaminate
 from trivane.llm.embeddings import near_vectors
 from trivane.llm.jaccard import jaccard_groups
@@ -84,6 +85,17 @@ def test_jaccard(odd, empty):
     assert jaccard_groups(empty).count() == 0
 
 
+def test_near_copies_stage(spark, odd, empty):
+    more = [(None, "same text here for all of us"), (8, "another text under an identifier that is taken"), (None, "no identifier at all on this row")]
+    extra = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in more], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = odd.select(*corpus_pipeline.COLUMNS).union(extra).repartition(4)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, SF).collect()), key=repr)
+    # Of (7, 8, 8, null) "same text ..." 7 stays, of two rows without identifier one; 8's other text stays.
+    want = [x for x in ODD if x[0] != 8] + [more[1]]
+    assert got == sorted(want, key=repr)
+    assert corpus_pipeline.near_copies(spark, empty.select(*corpus_pipeline.COLUMNS), SF).count() == 0
+
+
 def test_repeats(odd, empty):
     got = {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeats(odd, 4).collect()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
