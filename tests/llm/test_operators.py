@@ -171,6 +171,19 @@ def test_licenses_against_brute_force(spark):
     assert len(licenses.rules()) >= 200 and len({r[3] for r in licenses.rules()}) == len(licenses.rules())
 
 
+def test_licenses_of_identifiers_joined_versions_and_texts(spark):
+    texts = [
+        ("SPDX-License-Identifier: MIT", "mit"), ("// SPDX-License-Identifier: ISC", "isc"), ("SPDX-License-Identifier: Zlib", "zlib"), ("SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl-2.1-or-later"),
+        ("under GPLv2", "gpl-2.0"), ("released under the GPLv3 or later", "gpl-3.0-or-later"), ("LGPLv2.1", "lgpl-2.1"), ("AGPLv3", "agpl-3.0"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\")", "mit"),
+        ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted", "bsd"),
+        ("You may not use this file except in compliance with the License.", "apache"), ("we commit to a mitigation", ""),
+    ]
+    got = licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")).select("doc_id", "labels").collect()
+    assert {r.doc_id: r.labels for r in got} == {i: x for i, (_, x) in enumerate(texts)}
+    assert len({r[3] for r in licenses.rules()}) == len(licenses.rules()) and len(licenses.NAMES) + len(licenses.SPDX) + len(licenses.BODIES) >= 300
+
+
 def test_mixing_meets_targets(spark):
     rows = QUERIES["op7_mix_sources"](spark, SF).collect()
     src = {r.doc_id: r.source for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source").collect()}

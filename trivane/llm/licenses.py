@@ -110,6 +110,72 @@ NAMES = [
     ("cc-by-nc-nd", "creative", r"creative commons attribution non ?commercial no ?deriv\w*(?: [1-4] [05])?"),
     ("proprietary", "rights", r"all rights reserved"),
     ("proprietary", "proprietary", r"proprietary and confidential"),
+    ("gpl", "gplv1", r"gplv1"),
+    ("gpl-2.0", "gplv2", r"gplv2(?: 0)?(?: only)?"),
+    ("gpl-3.0", "gplv3", r"gplv3(?: 0)?(?: only)?"),
+    ("gpl-2.0-or-later", "gplv2", r"gplv2(?: 0)? or (?:later|newer)"),
+    ("gpl-3.0-or-later", "gplv3", r"gplv3(?: 0)? or (?:later|newer)"),
+    ("gpl-2.0", "gpl2", r"gpl2"),
+    ("gpl-3.0", "gpl3", r"gpl3"),
+    ("lgpl-2.0", "lgplv2", r"lgplv2(?: 0)?"),
+    ("lgpl-2.1", "lgplv2", r"lgplv2 1"),
+    ("lgpl-3.0", "lgplv3", r"lgplv3(?: 0)?"),
+    ("agpl-3.0", "agplv3", r"agplv3(?: 0)?"),
+    ("mpl-2.0", "mplv2", r"mplv2(?: 0)?"),
+    ("epl-1.0", "eplv1", r"eplv1(?: 0)?"),
+    ("epl-2.0", "eplv2", r"eplv2(?: 0)?"),
+    ("apache-2.0", "asl", r"asl 2 0"),
+    ("apache-2.0", "apachev2", r"apachev2(?: 0)?"),
+    ("eupl-1.2", "eupl", r"euplv1 2|eupl v1 2"),
+]
+
+#: Bare SPDX identifiers; each gives one rule, behind "SPDX-License-Identifier:". The label is the identifier.
+SPDX = """
+    0BSD AAL AFL-1.1 AFL-1.2 AFL-2.0 AFL-2.1 AFL-3.0 AGPL-1.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.0 Apache-1.1 Apache-2.0 APSL-1.0 APSL-1.1 APSL-1.2 APSL-2.0
+    Artistic-1.0 Artistic-1.0-Perl Artistic-2.0 Beerware BlueOak-1.0.0 BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause BSD-3-Clause-Clear BSD-3-Clause-LBNL BSD-4-Clause BSL-1.0 BUSL-1.1 bzip2-1.0.6
+    CAL-1.0 CATOSL-1.1 CC-BY-1.0 CC-BY-2.0 CC-BY-2.5 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-ND-3.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-3.0 CC-BY-NC-SA-4.0 CC-BY-ND-3.0 CC-BY-ND-4.0 CC-BY-SA-2.0 CC-BY-SA-2.5
+    CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 CDLA-Permissive-1.0 CDLA-Permissive-2.0 CDLA-Sharing-1.0 CECILL-1.0 CECILL-2.0 CECILL-2.1 CECILL-B CECILL-C CNRI-Python CPAL-1.0 CPL-1.0 curl
+    ECL-1.0 ECL-2.0 EFL-1.0 EFL-2.0 Elastic-2.0 EPL-1.0 EPL-2.0 EUDatagrid EUPL-1.0 EUPL-1.1 EUPL-1.2 FSFAP FTL GFDL-1.1-only GFDL-1.1-or-later GFDL-1.2-only GFDL-1.2-or-later GFDL-1.3-only GFDL-1.3-or-later
+    GPL-1.0-only GPL-1.0-or-later GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later HPND ICU IJG Intel IPA IPL-1.0 ISC JSON LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later
+    LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later Libpng LPL-1.02 LPPL-1.3c MirOS MIT MIT-0 MIT-Modern-Variant Motosoto MPL-1.0 MPL-1.1 MPL-2.0 MPL-2.0-no-copyleft-exception MS-PL MS-RL MulanPSL-1.0 MulanPSL-2.0 Multics NASA-1.3 NCSA NGPL NPL-1.1
+    NTP OCLC-2.0 ODbL-1.0 ODC-By-1.0 OFL-1.0 OFL-1.1 OGL-UK-3.0 OLDAP-2.8 OpenSSL OSL-1.0 OSL-2.0 OSL-2.1 OSL-3.0 PDDL-1.0 PHP-3.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 RPL-1.1 RPL-1.5 RPSL-1.0 RSCPL Ruby
+    SGI-B-2.0 SISSL Sleepycat SMLNJ SPL-1.0 SSPL-1.0 TCL Unicode-3.0 Unicode-DFS-2016 Unlicense UPL-1.0 Vim VSL-1.0 W3C Watcom-1.0 WTFPL X11 Xnet Zend-2.0 Zlib ZPL-2.0 ZPL-2.1
+""".split()
+
+#: Signatures of license texts: label, keyword, pattern over words.
+_GNU = r"gnu {}general public licen[cs]e as published by the free software foundation either version {} of the licen[cs]e or at your option any later version"
+BODIES = [
+    ("mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("ncsa", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software"),
+    ("bsl-1.0", "hereby", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("isc", "hereby", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    ("postgresql", "hereby", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("upl-1.0", "hereby", r"permission is hereby granted to any person obtaining a copy of this software associated documentation and or data"),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", "endorse", r"neither the names? of (?:[^ ]+ ){1,12}nor the names of (?:its|the|their|other) (?:[^ ]+ )?contributors may be used to endorse or promote products"),
+    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display"),
+    ("apache-2.0", "unless", r"unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is distributed on an as is basis"),
+    ("apache", "compliance", r"you may not use this file except in compliance with the licen[cs]e"),
+    ("gpl", "gnu", r"redistribute it and or modify it under the terms of the gnu general public licen[cs]e"),
+    ("lgpl", "gnu", r"redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e"),
+    ("agpl", "gnu", r"redistribute it and or modify it under the terms of the gnu affero general public licen[cs]e"),
+    ("gpl-2.0-or-later", "gnu", _GNU.format("", "2")),
+    ("gpl-3.0-or-later", "gnu", _GNU.format("", "3")),
+    ("lgpl-2.0-or-later", "gnu", _GNU.format("(?:library|lesser) ", "2")),
+    ("lgpl-2.1-or-later", "gnu", _GNU.format("lesser ", "2 1")),
+    ("lgpl-3.0-or-later", "gnu", _GNU.format("lesser ", "3")),
+    ("agpl-3.0-or-later", "gnu", _GNU.format("affero ", "3")),
+    ("mpl-2.0", "mozilla", r"this source code form is subject to the terms of the mozilla public licen[cs]e"),
+    ("epl", "eclipse", r"made available under the terms of the eclipse public licen[cs]e"),
+    ("zlib", "authors", r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "fuck", r"do what the fuck you want to"),
+    ("cc0", "waived", r"waived all copyright and related or neighboring rights"),
+    ("ofl-1.1", "font", r"this font software is licensed under the sil open font licen[cs]e"),
+    ("json", "evil", r"the software shall be used for good not evil"),
+    ("beerware", "stuff", r"as long as you retain this notice you can do whatever you want with this stuff"),
+    ("public-domain", "domain", r"(?:dedicated|placed|released) (?:in ?)?to the public domain"),
+    ("public-domain", "domain", r"placed in the public domain"),
 ]
 
 #: How a name may be wrapped: prefix, suffix, priority added. Every name gives one rule each.
@@ -121,8 +187,10 @@ FORMS = [
 
 
 def rules() -> list[tuple[int, str, str, str, int]]:
-    """(rank, label, keyword, pattern, priority) of every rule: names by forms, in fixed order."""
-    made = [(label, word, f"(?<= )(?:{before}{name}{after})(?= )", p) for before, after, p in FORMS for label, word, name in NAMES]
+    """(rank, label, keyword, pattern, priority) of every rule: names by forms, SPDX identifiers, texts; in fixed order."""
+    made = [(label, word, f"(?<= )(?:{before}(?:{name}){after})(?= )", p) for before, after, p in FORMS for label, word, name in NAMES]
+    made += [(x.lower(), "spdx", f"(?<= )(?:spdx licen[cs]e identifier {' '.join(x.lower().replace('-', '.').split('.'))})(?= )", 3) for x in SPDX]
+    made += [(label, word, f"(?<= )(?:{body})(?= )", 2) for label, word, body in BODIES]
     return [(i, *r) for i, r in enumerate(made)]
 
 
