@@ -64,9 +64,13 @@ def contamination(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, thr
     k = F.least(F.col("n"), top - F.ceil(top * threshold - 1e-9).cast("int") + 1)
     mins = it.select("_item", "n", need.alias("need"), k.alias("k"), F.slice(F.array_sort("h"), F.lit(1), k).alias("mins"))
     mins = mins.dropDuplicates(["_item"]).select("_item", "n", "need", "k", F.explode("mins").alias("h"))
-    probes = docs.select("doc_id", F.xxhash64("text").alias("_t"), _hashed(normal_words(F.col("text")), shingle).alias("hs"))
-    probes = probes.select("doc_id", "_t", F.size("hs").alias("size"), F.explode("hs").alias("h"))
-    hits = probes.join(mins, "h").where("size >= need")
+    # Generated code makes and looks up a document's shingles one at a time: no array of them, no row but the hits.
+    d = docs.select("doc_id", "text").select("doc_id", F.xxhash64("text").alias("_t"), F.transform(normal_words(F.col("text")), lambda x: F.xxhash64(x)).alias("ws"))
+    d = d.where(F.size("ws") > 0).withColumn("i", F.explode(F.sequence(F.lit(0), F.greatest(F.size("ws") - shingle, F.lit(0)))))
+    run = F.xxhash64(*[F.get("ws", F.col("i") + j) for j in range(shingle)])
+    size = F.greatest(F.size("ws") - shingle + 1, F.lit(1))
+    probes = d.select("doc_id", "_t", size.alias("size"), F.when(F.size("ws") >= shingle, run).otherwise(F.xxhash64("ws")).alias("h"))
+    hits = probes.join(mins, "h").where("size >= need").dropDuplicates(["doc_id", "_t", "_item", "h"])
     cand = hits.groupBy("doc_id", "_t", "_item").agg(F.count(F.lit(1)).alias("hits"), F.first("k").alias("k"), F.first("n").alias("n"), F.first("need").alias("need"))
     cand = written(cand.where("hits >= k - (n - need)").select("doc_id", "_t", "_item", "n", "need"), "decon-pairs")
     # Exact: words of shared shingles, for candidate documents alone.
