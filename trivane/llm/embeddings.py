@@ -2,8 +2,8 @@
 
 A rotation is three rounds of random signs and a Walsh-Hadamard transform; a hash is the signed axis
 nearest to the rotated vector, a bucket is ``k`` hashes of one table. ``k`` follows the number of vectors,
-so that buckets stay small, and the number of tables follows ``k`` (``TABLES``), so that vectors of
-cosine 0.9 share a bucket with probability of 0.998 or more. Multiprobe: every vector also enters its
+so that buckets stay small, and the number of tables follows ``k`` and the dimension (``tables_for``), so that
+vectors at the threshold share a bucket with probability of 0.998 or more. Multiprobe: every vector also enters its
 ``PROBES`` next best buckets of each table, where it meets the vectors at home there.
 
 Equal vectors become one node first. Small buckets travel together, large ones are split into blocks that
@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -29,8 +30,9 @@ from .jaccard import _batch
 
 THRESHOLD = 0.9
 PROBES = 2
-#: Tables by hashes in a bucket, from measured collision rates at cosine 0.9 in 64 dimensions.
-TABLES = {1: 4, 2: 9, 3: 19, 4: 42, 5: 90}
+#: Probability that two vectors at the threshold share a bucket, and pairs and tables that it is measured on.
+RECALL, PAIRS, TRIALS = 0.998, 200, 16
+MOST_HASHES = 5
 BUCKET, BLOCK, GROUP = 16, 384, 1024
 TOP = 4  # best axes of a hash that probes are made of
 
@@ -74,6 +76,28 @@ def buckets(x: np.ndarray, k: int, tables: int) -> tuple[np.ndarray, np.ndarray]
     return home, probes
 
 
+@lru_cache(64)
+def tables_for(dim: int, k: int, threshold: float = THRESHOLD) -> int:
+    """How many tables pairs at ``threshold`` need, from how often random ones share a bucket of one table.
+
+    Rotations of different tables are independent, and a pair's chance depends on its angle alone, so a
+    rate measured on few tables tells the number of all; two standard errors are taken off.
+    """
+    rng = np.random.Generator(np.random.PCG64(77))
+    a = _unit(rng.standard_normal((PAIRS, dim)))
+    b = rng.standard_normal((PAIRS, dim))
+    b -= (a * b).sum(1, keepdims=True) * a
+    norm = np.sqrt((b * b).sum(1, keepdims=True))
+    b = np.where(norm > 1e-9, b / np.maximum(norm, 1e-9), 0)
+    b = threshold * a + math.sqrt(max(0.0, 1 - threshold * threshold)) * b
+    home, probes = buckets(np.concatenate([a, _unit(b)]), k, TRIALS)
+    x, y = slice(0, PAIRS), slice(PAIRS, None)
+    meet = (home[x] == home[y]) | (probes[x] == home[y][:, :, None]).any(2) | (probes[y] == home[x][:, :, None]).any(2)
+    p = meet.mean()
+    p = min(max(p - 2 * math.sqrt(p * (1 - p) / meet.size), 1e-4), 0.999)
+    return max(4, math.ceil(math.log(1 - RECALL) / math.log(1 - p)))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of one length as doubles."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -102,16 +126,20 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     vec_id are rows like others. Extra columns are ignored; an empty table gives an empty result.
     """
     v = F.col("embedding")
-    rows = written(vectors.select("vec_id", F.when(valid(v), v).alias("v")).select("vec_id", "v", F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("node")), "vectors")
-    nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")), "vector-nodes")
+    rows = written(vectors.select("vec_id", F.when(valid(v), v).alias("v")).select("vec_id", "v", F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("h")), "vectors")
+    # A node is a vector, compared by its components; the hash only names it where no other vector has it.
+    nodes = rows.where("h is not null").groupBy("h", "v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
+    shared = written(nodes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", F.lit(True).alias("shared")), "vector-hashes")
     size = nodes.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count")).limit(1).first()
     if not size:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     width = 2 * max(2, 1 << (size["dim"] - 1).bit_length())
-    k = min(max(TABLES), max(1, math.ceil(math.log(max(2.0, size["count"] / BUCKET)) / math.log(width))))
-    tables = TABLES[k]
+    k = min(MOST_HASHES, max(1, math.ceil(math.log(max(2.0, size["count"] / BUCKET)) / math.log(width))))
+    known = {size["dim"]: tables_for(size["dim"], k, threshold)}  # of other dimensions where they are met
+    tables = known[size["dim"]]
 
-    out = pa.schema([("t", pa.int32()), ("bucket", pa.int64()), ("dim", pa.int32()), ("node", pa.int64())])
+    out = pa.schema([("t", pa.int32()), ("bucket", pa.int64()), ("dim", pa.int32()), ("node", pa.int64()), ("first", pa.int64())])
 
     def enter(batches):
         for b in batches:
@@ -120,21 +148,32 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
                 x = _unit(_matrix(lists.take(pa.array(at))))
-                home, probes = buckets(x, k, tables)
-                for t in range(tables):
+                home, probes = buckets(x, k, known.get(dim) or tables_for(dim, k, threshold))
+                for t in range(home.shape[1]):
                     both = np.concatenate([home[:, t, None], probes[:, t]], 1)
                     r, c = np.nonzero(both >= 0)
-                    yield _batch(out, np.full(len(r), t, np.int32), both[r, c], np.full(len(r), dim, np.int32), node[at][r])
+                    yield _batch(out, np.full(len(r), t, np.int32), both[r, c], np.full(len(r), dim, np.int32), node[at][r], home[r, 0])
 
     # Identifiers alone are dealt into buckets; vectors follow once the groups are known.
-    entries = written(nodes.select("node", "v").mapInArrow(enter, "t int, bucket long, dim int, node long"), "vector-entries")
+    entries = written(nodes.select("node", "v").mapInArrow(enter, "t int, bucket long, dim int, node long, first long"), "vector-entries")
     key = ["t", "bucket", "dim"]
     sizes = written(entries.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "vector-buckets")
     few = sizes.where(F.col("m") <= BLOCK).agg(F.sum("m")).first()[0] or 0
     groups = max(1, math.ceil(few / tables / GROUP))
-    sizes = sizes.withColumn("large", F.when(F.col("m") > BLOCK, F.col("bucket"))).withColumn("blocks", F.when(F.col("m") > BLOCK, F.ceil(F.col("m") / BLOCK)).otherwise(1).cast("int"))
-    m = entries.join(sizes, key).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sizes = sizes.withColumn("large", F.when(F.col("m") > BLOCK, F.col("bucket")))
+    # Vectors with one home in the first table have met there: in a large bucket of a later table they get
+    # blocks of their own, which are joined with other blocks only. A hot group is compared once, not once a table.
+    met = entries.where("t > 0").join(sizes.where("large is not null").select(*key), key).groupBy(*key, "first").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= BLOCK // 2)
+    met = met.withColumn("own", F.ceil(F.col("c") / BLOCK).cast("int"))
+    met = written(met.withColumn("from", F.sum("own").over(Window.partitionBy(*key).orderBy("first")) - F.col("own")), "vector-met")
+    sizes = sizes.join(met.groupBy(*key).agg(F.sum("own").cast("int").alias("owned"), F.sum("c").alias("c")), key, "left").fillna(0, ["owned", "c"])
+    rest = F.when(F.col("large").isNull(), 1).otherwise(F.ceil((F.col("m") - F.col("c")) / BLOCK)).cast("int")
+    sizes = written(sizes.withColumn("blocks", F.col("owned") + rest).drop("m", "c"), "vector-blocks")
+    m = entries.join(sizes, key).join(met.drop("c"), [*key, "first"], "left")
+    spread = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
+    m = m.withColumn("mine", F.when(F.col("from").isNull(), F.col("owned") + spread(F.col("blocks") - F.col("owned"))).otherwise(F.col("from") + spread(F.col("own"))).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.col("from").isNull() | (x < F.col("from")) | (x >= F.col("from") + F.col("own")))
+    m = m.withColumn("other", F.explode(others))
     m = m.select("t", "large", "dim", "node", "bucket",
         F.when(F.col("large").isNull(), F.pmod(F.xxhash64("t", "bucket"), F.lit(groups)).cast("int")).otherwise(F.least("mine", "other")).alias("i"),
         F.greatest("mine", "other").alias("j"),
@@ -201,7 +240,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     n = nodes.select("node", "vec_id", "copies").join(links, "node", "left").join(roots, "node", "left")
     n = written(n.select("node", "vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")), "vector-roots")
     label = n.join(n.groupBy("root").agg(F.min("vec_id").alias("component_id")), "root").select("node", "n_links", "component_id")
-    r = rows.select("vec_id", "node").join(written(label, "vector-labels"), "node", "left")
+    named = nodes.join(shared, "h", "left").select("node", "h", F.when(F.col("shared"), F.col("v")).alias("same"))
+    label = written(label.join(named, "node").drop("node").withColumnRenamed("h", "_h"), "vector-labels")
+    r = rows.join(shared, "h", "left").select("vec_id", "h", F.when(F.col("shared"), F.col("v")).alias("v"))
+    r = r.join(label, (r.h == label._h) & r.v.eqNullSafe(label.same), "left")
     r = r.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return r.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
