@@ -5,12 +5,12 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Iterator
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import scratch, written
 
-__all__ = ["LOWER", "UPPER", "WORD", "arrow_rows", "bound_batches", "let", "lower_ascii", "partitions", "scratch", "written"]
+__all__ = ["LOWER", "UPPER", "WORD", "arrow_rows", "bound_batches", "let", "lower_ascii", "partitions", "plan_bytes", "scratch", "written"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,5 +49,11 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Bytes of ``df`` as the planner estimates them, 0 where it cannot. Decides how finely work is dealt, never results."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -22,6 +22,8 @@ _BYTE = _rng.integers(1, 1 << 64, 256, dtype=np.uint64, endpoint=False)
 _P = U(0x9E3779B97F4A7C15 | 1)
 _PINV = U(pow(int(_P), -1, 1 << 64))
 _C = _rng.integers(1, 1 << 64, 64, dtype=np.uint64, endpoint=False) | U(1)
+#: A second, independent table: two 64-bit hashes make one of 128 bits.
+_BYTE_2 = _rng.integers(1, 1 << 64, 256, dtype=np.uint64, endpoint=False)
 
 #: Bytes that belong to words: anything but ASCII white space; letters, digits and all beyond ASCII.
 NOT_SPACE = np.ones(256, bool)
@@ -84,11 +86,12 @@ def word_spans(data: np.ndarray, off: np.ndarray, word: np.ndarray = NOT_SPACE)
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False, second: bool = False) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, U)
     power, inverse = _powers(len(data) + 1)
-    table = _BYTE[FOLD] if fold else _BYTE
+    table = _BYTE_2 if second else _BYTE
+    table = table[FOLD] if fold else table
     sums = np.zeros(len(data) + 1, U)
     np.cumsum(table[data] * power[: len(data)], dtype=U, out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U))
