@@ -4,20 +4,26 @@ Two sets link when their Jaccard similarity is at least ``percent`` / 100, so th
 ``T = ceil(percent * (n1 + n2) / (100 + percent))`` shingles. DivideSkip divides a set's inverted lists
 into short ones, which are merged, and up to T - 1 long ones, which are only probed by binary search.
 
-1.  One pass counts shingles over all documents into a sketch of fixed width (its only use is the
-    global order "rare first", any order is correct) and reduces each document to (doc_id, size,
-    fingerprint). Documents with equal sets become one node, however many they are.
+1.  One pass counts shingles over all documents into a sketch, whose width follows the texts' size up to
+    ``MOST_WIDTH`` (its only use is the global order "rare first", any order is correct), and reduces
+    each document to (doc_id, size, fingerprint). Documents with equal sets become one node, however
+    many they are. A node is named by 64 bits, unless a second 64-bit fingerprint tells that two sets
+    share the name: then by the second.
 2.  The index: each node enters its short lists, the ``n - ceil(p * n) + 1`` rarest shingles; at least
-    one of them is shared by every linking pair. Postings travel packed, deduplicated by node
-    before the shuffle, so a large group of copies costs one posting a list and task.
-3.  Merging: lists of up to ``LIST`` nodes give candidate pairs under size and position filters. Nodes
-    of longer lists form clusters, which are joined block by block inside tasks, again by T-occurrence
-    search, and give only a spanning forest of links: no group is expanded into all pairs.
-4.  A candidate pair stays if its shared short lists leave T in reach (T - L, DivideSkip's merge
-    threshold); what is left is verified on whole sets by binary probes. Components follow.
-
-Shingles are compared by 64-bit hashes. Nothing is capped or sampled; the result is exact up to a
-collision of 64-bit hashes within a pair.
+    one of them is shared by every linking pair. Postings travel packed, deduplicated by node before
+    the shuffle; of a list that is long within one buffer a single posting does, its members are tied
+    together there. So neither copies nor a shingle of many documents make a large task.
+3.  Lists of up to ``LIST`` nodes are merged into candidate pairs under size and position filters. Nodes
+    of longer lists form clusters, which are searched block by block inside tasks, again by T-occurrence
+    search, and give only a spanning forest of links. First every block meets itself and its class's first
+    block; nodes that are in one component by then need not meet again, so a group of near copies, however
+    large, costs work in proportion to it, and no group is expanded into all pairs.
+4.  T-occurrences of a candidate pair are counted on its short lists: it stays if they leave T in reach
+    (at least T - L of them, DivideSkip's merge threshold); what is left is verified on whole sets by
+    binary probes. Components follow.
+
+Nothing is capped or sampled. Shingles are compared by 64-bit hashes: the result is exact unless two
+different shingles of two compared documents, or both fingerprints of two different sets, agree by chance.
 """
 
 from __future__ import annotations
@@ -27,15 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, partitions, written
+from .common import arrow_rows, partitions, plan_bytes, written
 from .components import components
 from .textops import U, chunks, gram_sets, mix
 
-#: Counters of the frequency sketch, and the rows that they travel in.
-WIDTH, SLICES = 1 << 22, 128
+#: Counters of the frequency sketch, at least and at most, and the rows that they travel in.
+LEAST_WIDTH, MOST_WIDTH, SLICES = 1 << 20, 1 << 24, 128
+#: Bytes of text for each counter, and for each partition of the token space.
+COUNTER_BYTES, PART_BYTES = 16, 64 << 20
 #: Longer lists are joined in blocks of so many nodes.
 LIST, BLOCK = 48, 256
 ROWS = 2000
@@ -47,11 +56,26 @@ def need(n1, n2, percent: int):
     return -(-percent * (n1 + n2) // (100 + percent))
 
 
-def fingerprint(s: np.ndarray) -> int:
-    """One 64-bit value of a sorted distinct set."""
+def fingerprint(s: np.ndarray, salt: int = 0x51ED270B) -> int:
+    """One 64-bit value of a sorted distinct set; another salt gives an independent one."""
     if not len(s):
         return 0
-    return int(mix((mix(s + U(0x51ED270B)).sum(dtype=U) + U(len(s)))[None])[0].view(np.int64))
+    return int(mix((mix(s + U(salt)).sum(dtype=U) + U(len(s)))[None])[0].view(np.int64))
+
+
+def second(s: np.ndarray) -> int:
+    return fingerprint(s ^ U(0x9E3779B97F4A7C15), 0xC2B2AE3D27D4EB4F)
+
+
+def _name(s: np.ndarray, shared: frozenset) -> int:
+    """A set's node: its fingerprint, or the second one if the first is shared by different sets."""
+    fp = fingerprint(s)
+    return second(s) if fp in shared else fp
+
+
+def sketch_width(nbytes: int) -> int:
+    """Counters for texts of so many bytes: a power of two."""
+    return min(max(LEAST_WIDTH, 1 << max(0, nbytes // COUNTER_BYTES).bit_length()), MOST_WIDTH)
 
 
 def _batch(schema: pa.Schema, *cols) -> pa.RecordBatch:
@@ -66,25 +90,25 @@ def _sets(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, np.ndarray
             yield i + k, s, int(off[k + 1] - off[k])
 
 
-def _nodes_and_counts(docs: DataFrame, shingle: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+def _nodes_and_counts(docs: DataFrame, shingle: int, width: int) -> DataFrame:
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
-        counts = np.zeros(WIDTH, np.uint32)
+        counts = np.zeros(width, np.uint32)
         for b in batches:
-            ns, fps = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            ns, fps, more = (np.zeros(b.num_rows, np.int64) for _ in range(3))
             for i, s, _ in _sets(b, shingle):
-                ns[i], fps[i] = len(s), fingerprint(s)
-                np.add.at(counts, (s & U(WIDTH - 1)).astype(np.int64), np.uint32(1))
+                ns[i], fps[i], more[i] = len(s), fingerprint(s), second(s) if len(s) else 0
+                np.add.at(counts, (s & U(width - 1)).astype(np.int64), np.uint32(1))
             none = pa.nulls(b.num_rows, pa.int32())
-            yield _batch(schema, b.column(b.schema.get_field_index("doc_id")), ns, fps, none, pa.nulls(b.num_rows, pa.binary()))
-        parts = np.minimum(counts, 65535).astype(np.uint16).reshape(SLICES, -1)
+            yield _batch(schema, b.column(b.schema.get_field_index("doc_id")), ns, fps, more, none, pa.nulls(b.num_rows, pa.binary()))
+        parts = counts.reshape(SLICES, -1)
         keep = [k for k in range(SLICES) if parts[k].any()]
         if keep:
             n = pa.nulls(len(keep), pa.int64())
-            yield _batch(schema, n, n, n, keep, [zlib.compress(parts[k].tobytes(), 1) for k in keep])
+            yield _batch(schema, n, n, n, n, keep, [zlib.compress(parts[k].tobytes(), 1) for k in keep])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp long, slice int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp long, fp2 long, slice int, counts binary")
 
 
 def _add(batches):
@@ -93,37 +117,52 @@ def _add(batches):
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for k, c in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            x = np.frombuffer(zlib.decompress(c.as_buffer()), np.uint16).astype(np.uint32)
-            total[k] = total[k] + x if k in total else x
+            x = np.frombuffer(zlib.decompress(c.as_buffer()), np.uint32)
+            total[k] = np.minimum(total[k], np.uint32(1 << 31)) + np.minimum(x, np.uint32(1 << 31) - np.uint32(1)) if k in total else x
     if total:
-        yield _batch(schema, list(total), [zlib.compress(np.minimum(v, 65535).astype(np.uint16).tobytes(), 1) for v in total.values()])
+        yield _batch(schema, list(total), [zlib.compress(v.tobytes(), 1) for v in total.values()])
 
 
-def _levels(rows: DataFrame) -> np.ndarray:
-    """Logarithmic counts, one byte a counter: of fixed size whatever the corpus."""
+def _levels(rows: DataFrame, width: int) -> np.ndarray:
+    """Logarithmic counts, one byte a counter: at most ``MOST_WIDTH`` whatever the corpus."""
     p = partitions(rows.sparkSession)
     rows = rows.select("slice", "counts").repartition(p).mapInArrow(_add, "slice int, counts binary")
     rows = rows.repartition(p, "slice").mapInArrow(_add, "slice int, counts binary")
-    out = np.zeros((SLICES, WIDTH // SLICES), np.uint8)
+    out = np.zeros((SLICES, width // SLICES), np.uint8)
     for r in rows.toLocalIterator():  # at most SLICES rows
-        x = np.frombuffer(zlib.decompress(r["counts"]), np.uint16)
-        out[r["slice"]] = np.ceil(2 * np.log2(1.0 + x)).astype(np.uint8)
+        x = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
+        out[r["slice"]] = np.ceil(2 * np.log2(1.0 + x.astype(np.float32))).astype(np.uint8)
     return out.reshape(-1)
 
 
-def _postings(docs: DataFrame, shingle: int, percent: int, levels) -> DataFrame:
-    """Short-list entries, packed by partition of the token space: columns p, token, fp, n, pos."""
-    parts = 8 * partitions(docs.sparkSession)
+def _postings(docs: DataFrame, shingle: int, percent: int, levels, shared: frozenset, parts: int) -> DataFrame:
+    """Short-list entries, packed by partition of the token space: columns p, token, fp, n, pos.
+
+    Rows without token tie nodes together (fp to n). A size of 0 marks a posting that stands for a long list.
+    """
     schema = pa.schema([("p", pa.int32()), ("token", pa.binary()), ("fp", pa.binary()), ("n", pa.binary()), ("pos", pa.binary())])
 
     def flush(held):
         token, fp, n, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((fp, token))
+        token, fp, n, pos = token[order], fp[order], n[order], pos[order]
+        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        count = np.diff(np.append(start, len(token)))
+        long, head = np.repeat(count > LIST, count), np.repeat(start, count)
+        first = head == np.arange(len(token))
+        if long.any():
+            tied = long & ~first
+            edges = np.unique(np.stack([fp[head[tied]], fp[tied]], 1), axis=0)
+            yield _batch(schema, [int(mix(edges[:1, 0].view(U))[0] % U(parts))], pa.nulls(1, pa.binary()), [edges[:, 0].tobytes()], [edges[:, 1].tobytes()], pa.nulls(1, pa.binary()))
+            n[long] = 0
+            keep = ~long | first
+            token, fp, n, pos = token[keep], fp[keep], n[keep], pos[keep]
         p = (mix(token) % U(parts)).astype(np.int32)
         order = np.argsort(p, kind="stable")
         cuts = np.flatnonzero(np.diff(p[order], prepend=-1))
         ends = [*cuts[1:].tolist(), len(p)]
         cols = [[x[order[a:b]].tobytes() for a, b in zip(cuts.tolist(), ends, strict=True)] for x in (token, fp, n, pos)]
-        return _batch(schema, p[order][cuts], *cols)
+        yield _batch(schema, p[order][cuts], *cols)
 
     def run(batches):
         level = levels.value
@@ -131,16 +170,16 @@ def _postings(docs: DataFrame, shingle: int, percent: int, levels) -> DataFrame:
         for b in batches:
             for _, s, nbytes in _sets(b, shingle):
                 size += nbytes
-                if len(s) and (fp := fingerprint(s)) not in seen:
+                if len(s) and (fp := _name(s, shared)) not in seen:
                     seen.add(fp)
                     q = _short(s, level, percent)
                     held.append((q, np.full(len(q), fp, np.int64), np.full(len(q), len(s), np.int32), np.arange(len(q), dtype=np.int32)))
                 if size >= FLUSH_BYTES:
                     if held:
-                        yield flush(held)
+                        yield from flush(held)
                     held, seen, size = [], set(), 0
         if held:
-            yield flush(held)
+            yield from flush(held)
 
     return docs.select("text").mapInArrow(run, "p int, token binary, fp binary, n binary, pos binary")
 
@@ -149,29 +188,30 @@ def _merge(percent: int):
     """Merge the short lists of a partition of the token space: candidate pairs and long-list members."""
     schema = pa.schema([("long", pa.bool_()), ("a", pa.int64()), ("b", pa.int64())])
 
-    def run(batches):
-        cols = [[], [], [], []]
-        for b in batches:
-            for k, kind in enumerate((np.uint64, np.int64, np.int32, np.int32), 1):
-                cols[k - 1] += [np.frombuffer(x.as_buffer(), kind) for x in b.column(k)]
-        if not cols[0]:
-            return
-        token, fp, n, pos = (np.concatenate(x) for x in cols)
-        del cols
-        order = np.lexsort((fp, token))
+    def run(t: pa.Table) -> pa.Table:
+        tied = pc.is_null(t["token"])
+        out = []
+        for x, y in zip(t["fp"].filter(tied), t["n"].filter(tied), strict=True):
+            a, b = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+            out.append(_batch(schema, np.ones(len(a), bool), a, b))
+        t = t.filter(pc.invert(tied))
+        if not t.num_rows:
+            return pa.Table.from_batches(out, schema)
+        token, fp, n, pos = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t[c]]) for c, kind in (("token", np.uint64), ("fp", np.int64), ("n", np.int32), ("pos", np.int32)))
+        order = np.lexsort((n, fp, token))  # of equal entries the mark of a long list comes first
         token, fp, n, pos = token[order], fp[order], n[order].astype(np.int64), pos[order].astype(np.int64)
         keep = np.ones(len(token), bool)
         keep[1:] = (token[1:] != token[:-1]) | (fp[1:] != fp[:-1])
         token, fp, n, pos = token[keep], fp[keep], n[keep], pos[keep]
         start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         count = np.diff(np.append(start, len(token)))
-        size = np.repeat(count, count)
+        size = np.repeat(np.where(np.minimum.reduceat(n, start) == 0, LIST + 1, count), count)
         # Long lists: each member with the list's first.
         at = size > LIST
         if at.any():
             edges = np.unique(np.stack([np.repeat(fp[start], count)[at], fp[at]], 1), axis=0)
             edges = edges[edges[:, 0] != edges[:, 1]]
-            yield _batch(schema, np.ones(len(edges), bool), edges[:, 0], edges[:, 1])
+            out.append(_batch(schema, np.ones(len(edges), bool), edges[:, 0], edges[:, 1]))
         at = (size > 1) & (size <= LIST)
         token, fp, n, pos = token[at], fp[at], n[at], pos[at]
         found = []
@@ -181,14 +221,13 @@ def _merge(percent: int):
                 break
             j = i + d
             low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            left = 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
+            left = np.minimum(n[i] - pos[i], n[j] - pos[j])
             ok = (100 * low >= percent * high) & (left >= need(n[i], n[j], percent))
             found.append(np.stack([fp[i[ok]], fp[j[ok]]], 1))  # sorted by fp within a list
         if found:
             pairs = np.unique(np.concatenate(found), axis=0)
-            for k in range(0, len(pairs), 100_000):
-                q = pairs[k : k + 100_000]
-                yield _batch(schema, np.zeros(len(q), bool), q[:, 0], q[:, 1])
+            out.append(_batch(schema, np.zeros(len(pairs), bool), pairs[:, 0], pairs[:, 1]))
+        return pa.Table.from_batches(out, schema)
 
     return run
 
@@ -257,7 +296,7 @@ def links_of(sets: list[np.ndarray], percent: int, across: np.ndarray | None = N
 
 def _short(s: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
     """A set's short lists: its rarest shingles in the global order."""
-    order = np.argsort(level[(s & U(WIDTH - 1)).astype(np.int64)], kind="stable")
+    order = np.argsort(level[(s & U(len(level) - 1)).astype(np.int64)], kind="stable")
     return s[order[: len(s) - (percent * len(s) + 99) // 100 + 1]]
 
 
@@ -277,7 +316,7 @@ def _reach(percent: int, levels):
             ok = []
             for i, (m, n) in enumerate(sizes):
                 x, y = np.frombuffer(qa[i].as_buffer(), U), np.frombuffer(qb[i].as_buffer(), U)
-                ends = [(level[int(q[-1] & U(WIDTH - 1))], q[-1]) for q in (x, y)]
+                ends = [(level[int(q[-1] & U(len(level) - 1))], q[-1]) for q in (x, y)]
                 rest = m - len(x) if ends[0] <= ends[1] else n - len(y)
                 ok.append(len(np.intersect1d(x, y, assume_unique=True)) + rest >= need(m, n, percent))
             keep = pa.array(ok, pa.bool_())
@@ -316,18 +355,25 @@ def jaccard_groups(docs: DataFrame, shingle: int = 4, percent: int = 85) -> Data
     empty table gives an empty result.
     """
     spark = docs.sparkSession
-    p = partitions(spark)
+    nbytes = plan_bytes(docs.select("text"))
+    width, parts = sketch_width(nbytes), max(8 * partitions(spark), nbytes // PART_BYTES)
     with arrow_rows(spark, ROWS):
-        first = written(_nodes_and_counts(docs, shingle), "jaccard-nodes")
-        nodes = first.where("slice is null").select("doc_id", "n", "fp")
-        levels = spark.sparkContext.broadcast(_levels(first.where("slice is not null")))
-        merged = _postings(docs, shingle, percent, levels).repartition(p, "p").mapInArrow(_merge(percent), "long boolean, a long, b long")
+        first = written(_nodes_and_counts(docs, shingle, width), "jaccard-nodes")
+        nodes = first.where("slice is null").select("doc_id", "n", "fp", "fp2")
+        levels = spark.sparkContext.broadcast(_levels(first.where("slice is not null"), width))
+        classes = nodes.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), (F.min("fp2") != F.max("fp2")).alias("shared"))
+        classes = written(classes, "jaccard-classes")
+        # Fingerprints that different sets share: none in all likelihood, a handful in 10^10 documents.
+        shared = frozenset(r["fp"] for r in classes.where("shared").select("fp").collect())
+        if shared:
+            nodes = written(nodes.withColumn("fp", F.when(F.col("fp").isin(list(shared)), F.col("fp2")).otherwise(F.col("fp"))), "jaccard-named")
+            classes = written(nodes.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "jaccard-classes")
+        merged = _postings(docs, shingle, percent, levels, shared, parts).groupBy("p").applyInArrow(_merge(percent), "long boolean, a long, b long")
         merged = written(merged.distinct(), "jaccard-merged")
         pairs, hot = merged.where("not long").select("a", "b"), merged.where("long").select("a", "b")
-        classes = written(nodes.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "jaccard-classes")
         ends = merged.select(F.col("a").alias("fp")).union(merged.select("b")).distinct()
         wanted = written(ends.join(classes, "fp"), "jaccard-wanted")
-        sets = _sets_of(docs, wanted, shingle, percent, levels)
+        sets = _sets_of(docs, wanted, shingle, percent, levels, shared)
         head = lambda c: sets.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col("q").alias(f"q{c}"))
         side = lambda c: sets.select(F.col("fp").alias(c), F.col("s").alias(f"s{c}"))
         near = pairs.join(head("b"), "b").join(head("a"), "a").select("a", "b", "na", "nb", "qa", "qb")
@@ -346,49 +392,18 @@ def jaccard_groups(docs: DataFrame, shingle: int = 4, percent: int = 85) -> Data
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _known_ids(wanted: DataFrame) -> np.ndarray:
-    """A filter of fixed size that lets pass all wanted doc_ids (and few others)."""
-    schema = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
-
-    def run(batches):
-        seen = np.zeros(WIDTH, np.uint16)
-        for b in batches:
-            for at in _slots(b.column(0)):
-                seen[at] = 1
-        parts = seen.reshape(SLICES, -1)
-        keep = [k for k in range(SLICES) if parts[k].any()]
-        if keep:
-            yield _batch(schema, keep, [zlib.compress(parts[k].tobytes(), 1) for k in keep])
-
-    return _levels(wanted.select("doc_id").mapInArrow(run, "slice int, counts binary")) > 0
-
-
-def _slots(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Two places of each identifier in the filter."""
-    h = mix(ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(U))
-    return (h & U(WIDTH - 1)).astype(np.int64), ((h >> U(32)) & U(WIDTH - 1)).astype(np.int64)
-
-
-def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, percent: int, levels) -> DataFrame:
-    """(fp, n, q, s): size, short lists and set of each wanted node, from its document of smallest doc_id.
-
-    A filter of fixed size passes over documents that are not wanted where they are read. The few
-    others that it lets pass do no harm: nothing asks for their nodes.
-    """
+def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, percent: int, levels, shared: frozenset) -> DataFrame:
+    """(fp, n, q, s): size, short lists and set of each wanted node, from its document of smallest doc_id."""
     schema = pa.schema([("id", pa.int64()), ("f", pa.int64()), ("n", pa.int64()), ("q", pa.binary()), ("s", pa.binary())])
-    known = docs.sparkSession.sparkContext.broadcast(_known_ids(wanted))
 
     def run(batches):
         level = levels.value
         for b in batches:
-            ids = b.column(b.schema.get_field_index("doc_id"))
-            one, two = _slots(ids)
-            at = pa.array(np.flatnonzero(known.value[one] & known.value[two]))
-            b, ids = b.take(at), ids.take(at).to_pylist()
+            ids = b.column(0).to_pylist()
             rows, size = [], 0
             for i, s, _ in _sets(b, shingle):
                 if len(s):
-                    rows.append((ids[i], fingerprint(s), len(s), _short(s, level, percent).tobytes(), s.tobytes()))
+                    rows.append((ids[i], _name(s, shared), len(s), _short(s, level, percent).tobytes(), s.tobytes()))
                     size += s.nbytes
                 if size > 4 << 20:
                     yield _batch(schema, *zip(*rows, strict=True))
@@ -396,9 +411,10 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, percent: int, lev
             if rows:
                 yield _batch(schema, *zip(*rows, strict=True))
 
-    found = written(docs.select("doc_id", "text").mapInArrow(run, "id long, f long, n long, q binary, s binary"), "jaccard-sets")
-    known.destroy()
-    # Nodes met in several documents (copies that the filter let pass, repeated rows) keep one.
+    ids = wanted.select(F.col("doc_id").alias("_wanted")).distinct()
+    some = docs.select("doc_id", "text").join(ids, docs.doc_id.eqNullSafe(F.col("_wanted")), "left_semi")
+    found = written(some.mapInArrow(run, "id long, f long, n long, q binary, s binary"), "jaccard-sets")
+    # Nodes met in several documents (repeated rows, rows that share a doc_id) keep one.
     twice = found.groupBy("f").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("first")).where("rows > 1")
     if not twice.isEmpty():
         twice = written(twice.select(F.col("f").alias("t"), "first"), "jaccard-twice")
@@ -408,34 +424,67 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, percent: int, lev
 
 
 def _block_links(hot: DataFrame, wanted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links within clusters of long-list members, joined block against block.
+    """Links within clusters of long-list members, block against block.
 
     Blocks are split by size class, whose neighbours alone can link, and by hash within a class, so a
-    cluster of any size becomes bounded groups.
+    cluster of any size becomes bounded groups. Two rounds: every block meets itself and the first
+    block of its class; then, of each cluster, what is not in its largest component meets everything.
     """
     cluster = written(components(hot), "jaccard-clusters")
     ratio = float(np.log(100 / percent)) if percent < 100 else 1.0
-    m = cluster.join(wanted.select("fp", "n"), cluster.node == F.col("fp")).select("fp", F.col("root").alias("cluster"), F.floor(F.log(F.col("n").cast("double")) / ratio + 1e-9).cast("int").alias("g"))
-    sizes = written(m.groupBy("cluster", "g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "jaccard-blocks")
-    near = lambda k, name: sizes.select("cluster", (F.col("g") + k).alias("g"), F.col("blocks").alias(name))
-    m = m.join(sizes, ["cluster", "g"]).join(near(-1, "above"), ["cluster", "g"], "left").join(near(1, "below"), ["cluster", "g"], "left")
-    m = m.withColumn("i", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    size_class = F.floor(F.log(F.col("n").cast("double")) / ratio + 1e-9).cast("int")
+    m = written(cluster.join(wanted.select("fp", "n"), cluster.node == F.col("fp")).select("fp", F.col("root").alias("cluster"), size_class.alias("g")), "jaccard-members")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     key = lambda g1, i, g2, j, side: F.struct(g1.alias("g1"), i.alias("i"), g2.alias("g2"), j.alias("j"), side.cast("int").alias("side"))
     g, i = F.col("g"), F.col("i")
-    same = F.transform(upto(F.col("blocks")), lambda j: key(g, F.least(i, j), g, F.greatest(i, j), F.when(i == j, -1).when(i < j, 0).otherwise(1)))
-    up = F.transform(upto(F.coalesce("above", F.lit(0))), lambda j: key(g, i, g + 1, j, F.lit(0)))
-    down = F.transform(upto(F.coalesce("below", F.lit(0))), lambda j: key(g - 1, j, g, i, F.lit(1)))
-    m = m.select("fp", "cluster", F.explode(F.concat(same, up, down)).alias("k")).select("fp", "cluster", "k.*")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def join(t: pa.Table) -> pa.Table:
+    def blocks(members: DataFrame) -> DataFrame:
+        """``members`` and their block: i of ``blocks`` in their class."""
+        sizes = written(members.groupBy("cluster", "g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "jaccard-blocks")
+        return members.join(sizes, ["cluster", "g"]).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")), sizes
+
+    def search(t: pa.Table) -> pa.Table:
         fp = t["fp"].to_pylist()
         side = t["side"].to_numpy()
         found = list(links_of([np.frombuffer(x.as_buffer(), U) for x in t["s"].combine_chunks()], percent, None if (side < 0).all() else side))
         return pa.table([pa.array([fp[a] for a, _ in found], pa.int64()), pa.array([fp[b] for _, b in found], pa.int64())], schema=schema)
 
-    return m.join(sets.select("fp", "s"), "fp").groupBy("cluster", "g1", "i", "g2", "j").applyInArrow(join, "a long, b long")
+    def met(keyed: DataFrame, name: str) -> DataFrame:
+        keyed = keyed.select("fp", "cluster", F.explode("k").alias("k")).select("fp", "cluster", "k.*")
+        return written(keyed.join(sets.select("fp", "s"), "fp").groupBy("cluster", "g1", "i", "g2", "j").applyInArrow(search, "a long, b long"), name)
+
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    zero = F.lit(0)
+    first, _ = blocks(m)
+    own = F.array(key(g, i, g, i, F.lit(-1)))
+    to_first = F.when(i > 0, F.array(key(g, zero, g, i, F.lit(1)))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.col("blocks") - 1, F.lit(1))), lambda j: key(g, zero, g, j, zero)))
+    to_first = F.when(F.col("blocks") > 1, to_first).otherwise(F.slice(own, 1, 0))
+    links = met(first.withColumn("k", F.concat(own, to_first)), "jaccard-near")
+    # In what follows two members of a cluster's largest component need not meet.
+    known = m.join(components(links), F.col("node") == F.col("fp"), "left").select("fp", "cluster", "g", F.coalesce("root", "fp").alias("root"))
+    known = written(known, "jaccard-known")
+    most = known.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "root")).alias("top")).select("cluster", F.col("top.root").alias("top"))
+    known = written(known.join(most, "cluster").select("fp", "cluster", "g", (F.col("root") == F.col("top")).alias("in_top")), "jaccard-sides")
+    rest, counts = blocks(known.where("not in_top").select("fp", "cluster", "g"))
+    counts = counts.select("cluster", "g", "blocks")
+    around = lambda k, name: counts.select("cluster", (F.col("g") + k).alias("g"), F.col("blocks").alias(name))
+    # What is left among itself: blocks of a class, and of a class with the next one.
+    pairs = rest.join(around(-1, "above"), ["cluster", "g"], "left").join(around(1, "below"), ["cluster", "g"], "left")
+    same = F.transform(upto(F.col("blocks")), lambda j: key(g, F.least(i, j), g, F.greatest(i, j), F.when(i == j, -1).when(i < j, 0).otherwise(1)))
+    up = F.transform(upto(F.coalesce("above", zero)), lambda j: key(g, i, g + 1, j, zero))
+    down = F.transform(upto(F.coalesce("below", zero)), lambda j: key(g - 1, j, g, i, F.lit(1)))
+    among = met(pairs.withColumn("k", F.concat(same, up, down)), "jaccard-among")
+    # What is left with the largest component: blocks of one side with those of the other, three classes wide.
+    top, sizes = blocks(known.where("in_top").select("fp", "cluster", "g"))
+    there = sizes.select("cluster", "g", F.col("blocks").alias("there"))
+    near = lambda t, d: t.withColumn("d", F.explode(F.array(*[F.lit(x) for x in (-1, 0, 1)]))).withColumn("to", F.col("g") + d * F.col("d"))
+    left = near(rest, 1).join(there.withColumnRenamed("g", "to"), ["cluster", "to"])
+    left = left.withColumn("k", F.transform(upto(F.col("there")), lambda j: key(g, i, F.col("to"), j, zero)))
+    here = counts.select("cluster", F.col("g").alias("to"), F.col("blocks").alias("here"))
+    right = near(top, 1).join(here, ["cluster", "to"])
+    right = right.withColumn("k", F.transform(upto(F.col("here")), lambda j: key(F.col("to"), j, g, i, F.lit(1))))
+    across = met(left.select("fp", "cluster", "k").union(right.select("fp", "cluster", "k")), "jaccard-across")
+    return links.union(among).union(across)
 
 
 def op8_jaccard_join(spark, sf_dir):
