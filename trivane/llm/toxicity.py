@@ -28,6 +28,7 @@ SLOTS = 1 << 22
 MOST_TERMS, LEAST_DOCS, LEAST_CHI2 = 8192, 3, 15.0
 LEAST_GAIN, PAIR_BLOCK = 60.0, 512  # what a pair's chi-squared has above that of either term; higher, as pairs are many
 FACTORS, STEPS, RATE, DECAY = 8, 300, 0.1, 2e-4
+DENSE_ROWS = 1500  # documents of the sample that are a matrix at a time
 CUT = 0.7
 FALSE_POSITIVE = 3.0  # weighs so many misses where the cut is chosen
 
@@ -40,12 +41,13 @@ def crc_fold(doc_id: Column, folds: int, held: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, size: int) -> DataFrame:
     """(doc_id, y, text) of at most ``size`` labelled rows outside the held-out fold, by identifier hash.
 
-    Rows without identifier or label do not count; of several labels of a document the largest does.
+    Rows without identifier or label do not count; of several labels of a document the largest does, of
+    several texts under one identifier the first in order (null after all others).
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~crc_fold(F.col("doc_id"), folds, held))
     ids = ids.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     ids = written(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size), "sample-ids")
-    return docs.select("doc_id", "text").join(ids, "doc_id").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def _terms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,31 +174,31 @@ def fit(sets: list[np.ndarray], y: np.ndarray) -> FactorizationMachine:
         return none
     model = FactorizationMachine(terms[good], none.w0, np.zeros(len(good)), np.random.default_rng(5).normal(0, 0.05, (len(good), FACTORS)))
     r, t = model.kept_of(sets)
-    order = np.argsort(t, kind="stable")
-    cut = np.searchsorted(t[order], np.arange(len(good)))
-    by_row = np.searchsorted(r, np.arange(n))
-    full = np.bincount(r, minlength=n) > 0
-
-    def row_sums(x):
-        s = np.add.reduceat(np.concatenate([x, np.zeros((1, *x.shape[1:]))]), by_row)
-        return np.where(full[:, None], s, 0) if x.ndim > 1 else np.where(full, s, 0)
-
-    m = [np.zeros(1), np.zeros_like(model.w), np.zeros_like(model.v)]
-    q = [np.zeros(1), np.zeros_like(model.w), np.zeros_like(model.v)]
+    present = np.zeros((n, len(good)), np.uint8)
+    present[r, t] = 1
+    m, q = [np.zeros((len(good), FACTORS + 1)), np.zeros(1)], [np.zeros((len(good), FACTORS + 1)), np.zeros(1)]
+    decay = np.r_[np.full(FACTORS, 10 * DECAY), DECAY]
     for step in range(1, STEPS + 1):
-        v = model.v[t]
-        s = row_sums(v)
-        z = model.w0 + row_sums(model.w[t]) + ((s * s) - row_sums(v * v)).sum(1) / 2
-        g = (sigmoid(z) - y) / n
-        gt = g[r]
-        gv = gt[:, None] * (s[r] - v)
-        grads = [np.array([g.sum()]), np.add.reduceat(gt[order], cut) + DECAY * model.w, np.add.reduceat(gv[order], cut) + 10 * DECAY * model.v]
-        params = [np.array([model.w0]), model.w, model.v]
-        for k in range(3):
-            m[k] = 0.9 * m[k] + 0.1 * grads[k]
-            q[k] = 0.99 * q[k] + 0.01 * grads[k] ** 2
-            params[k] = params[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(q[k] / (1 - 0.99**step)) + 1e-8)
-        model.w0, model.w, model.v = float(params[0][0]), params[1], params[2]
+        # Factors, then the weight, then the factors' squares; blocks of documents as matrix products.
+        params = np.concatenate([model.v, model.w[:, None], (model.v**2).sum(1, keepdims=True)], 1).astype(np.float32)
+        grad, bias, squares = np.zeros((len(good), FACTORS + 1)), 0.0, np.zeros(len(good))
+        for i in range(0, n, DENSE_ROWS):
+            x = present[i : i + DENSE_ROWS].astype(np.float32)
+            s = x @ params
+            z = model.w0 + s[:, FACTORS] + ((s[:, :FACTORS] ** 2).sum(1) - s[:, FACTORS + 1]) / 2
+            g = (sigmoid(z) - y[i : i + DENSE_ROWS]) / n
+            both = x.T @ np.concatenate([g[:, None] * s[:, :FACTORS], g[:, None]], 1).astype(np.float32)
+            grad += both
+            squares += both[:, FACTORS]
+            bias += g.sum()
+        grad[:, :FACTORS] -= squares[:, None] * model.v
+        grad += decay * np.concatenate([model.v, model.w[:, None]], 1)
+        steps = []
+        for k, g in enumerate((grad, np.array([bias]))):
+            m[k] = 0.9 * m[k] + 0.1 * g
+            q[k] = 0.99 * q[k] + 0.01 * g**2
+            steps.append(RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(q[k] / (1 - 0.99**step)) + 1e-8))
+        model.v, model.w, model.w0 = model.v - steps[0][:, :FACTORS], model.w - steps[0][:, FACTORS], model.w0 - float(steps[1][0])
     return model
 
 
