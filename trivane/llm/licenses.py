@@ -13,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import let, lower_ascii
+
+#: Items that are walked at a time.
+RUN = 256
 
 #: Phrases of the contract and their labels.
 BASE = [
@@ -198,21 +201,41 @@ def _rows(values: list[tuple], names: list[str]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names, strict=True)]) for row in values])
 
 
+def _walk(items: Column, start: dict[str, Column], step, made: str) -> Column:
+    """What ``step(state, item)`` appends over all items, where it returns the next state and an array of type ``made``.
+
+    An array that grows is copied at every append, so items are walked ``RUN`` at a time and the runs'
+    results joined at the end: work is in proportion to the items, however many a long text has.
+    """
+    none = F.array().cast(f"array<{made}>")
+
+    def inner(state, run):
+        def one(a, x):
+            new, out = step(a, x)
+            return F.struct(*[c.alias(n) for n, c in new.items()], F.concat(a["_out"], out).alias("_out"))
+
+        return F.aggregate(run, F.struct(*[state[n].alias(n) for n in start], none.alias("_out")), one)
+
+    def runs(all_):
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / RUN).cast("int")), lambda i: F.slice(all_, i * RUN + 1, RUN))
+        first = F.struct(*[c.alias(n) for n, c in start.items()], F.array().cast(f"array<array<{made}>>").alias("_runs"))
+        add = lambda s, run: let(inner(s, run), lambda r: F.struct(*[r[n].alias(n) for n in start], F.concat(s["_runs"], F.array(r["_out"])).alias("_runs")))
+        return F.when(F.size(all_) > 0, F.flatten(F.aggregate(parts, first, add)["_runs"])).otherwise(none)
+
+    return let(items, runs)
+
+
 def _places(norm: Column, pattern: Column) -> Column:
     """First and last word (from 0) of all matches, in order: pieces between matches are counted."""
-    gaps = F.split(norm, pattern, -1)
-    hits = F.regexp_extract_all(norm, pattern, F.lit(0))
     blanks = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,last:int>>").alias("found"))
-    walked = F.aggregate(
-        F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit")),
-        start,
-        lambda a, z: F.struct(
-            (a["at"] + blanks(z["gap"]) + blanks(z["hit"])).alias("at"),
-            F.concat(a["found"], F.array(F.struct((a["at"] + blanks(z["gap"]) - 1).alias("first"), (a["at"] + blanks(z["gap"]) + blanks(z["hit"]) - 1).alias("last")))).alias("found"),
-        ),
-    )
-    return walked["found"]
+    hits = F.regexp_extract_all(norm, pattern, F.lit(0))
+    counted = let(hits, lambda h: F.when(F.size(h) > 0, F.zip_with(F.slice(F.split(norm, pattern, -1), 1, F.size(h)), h, lambda g, x: F.struct(blanks(g).alias("gap"), blanks(x).alias("hit")))))
+
+    def step(a, z):
+        here = a["at"] + z["gap"]
+        return {"at": here + z["hit"]}, F.array(F.struct((here - 1).alias("first"), (here + z["hit"] - 1).alias("last")))
+
+    return _walk(F.coalesce(counted, F.array().cast("array<struct<gap:int,hit:int>>")), {"at": F.lit(0)}, step, "struct<first:int,last:int>")
 
 
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -246,16 +269,15 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     found = F.when(F.size("_keys") > 0, F.array_sort(found)).otherwise(F.array().cast("array<struct<first:int,minus_last:int,minus_priority:int,rank:int,label:string>>"))
     d = d.withColumn("_found", found)
     # Sorted by first word, longest first: a detection lies inside an earlier one if that reaches as far.
-    reach = F.struct(F.lit(-1).alias("r1"), F.lit(-1).alias("r2"), F.lit(-1).alias("r3"), F.array().cast("array<struct<label:string,first:int,last:int,priority:int>>").alias("left"))
 
     def suppress(a, x):
         last, p = -x["minus_last"], -x["minus_priority"]
         most = F.when(p == 3, a["r3"]).when(p == 2, F.greatest(a["r2"], a["r3"])).otherwise(F.greatest(a["r1"], a["r2"], a["r3"]))
         up = lambda k, r: F.when(p == k, F.greatest(r, last)).otherwise(r)
         one = F.array(F.struct(x["label"].alias("label"), x["first"].alias("first"), last.alias("last"), p.alias("priority")))
-        return F.struct(up(1, a["r1"]).alias("r1"), up(2, a["r2"]).alias("r2"), up(3, a["r3"]).alias("r3"), F.when(most >= last, a["left"]).otherwise(F.concat(a["left"], one)).alias("left"))
+        return {"r1": up(1, a["r1"]), "r2": up(2, a["r2"]), "r3": up(3, a["r3"])}, F.when(most >= last, F.slice(one, 1, 0)).otherwise(one)
 
-    d = d.withColumn("detections", F.aggregate("_found", reach, suppress)["left"])
+    d = d.withColumn("detections", _walk(F.col("_found"), {r: F.lit(-1) for r in ("r1", "r2", "r3")}, suppress, "struct<label:string,first:int,last:int,priority:int>"))
     base = _rows(BASE, ["phrase", "label"])
     places = F.flatten(F.transform(
         F.filter(base, lambda b: F.array_contains(F.col("_keys"), F.split(b["phrase"], " ")[0])),
