@@ -54,7 +54,13 @@ def contamination(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, thr
     match alike; rows that share a doc_id (null is a value too) are judged each by itself and reported
     once, with the largest containment. Other columns are ignored; empty tables give no pair.
     """
-    spark = docs.sparkSession
+    shared, it = _matches(docs, items, shingle, threshold)
+    pairs = shared.join(it.select("item_id", "_item"), "_item")
+    return pairs.groupBy("doc_id", "item_id").agg(F.max("n").cast("long").alias("n_shingles"), F.max("n_shared").cast("long").alias("n_shared"), F.max(F.col("n_shared") / F.col("n")).alias("containment"))
+
+
+def _matches(docs: DataFrame, items: DataFrame, shingle: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, _t: hash of the text) by items (_item, n, n_shared) that they hold, and the items."""
     it = items.select("item_id", normal_words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
     it = it.withColumn("_item", F.xxhash64(F.array_join("w", " ")))
     it = written(it.withColumn("h", _hashed(F.col("w"), shingle)).withColumn("n", F.size("h")), "decon-items")
@@ -81,15 +87,21 @@ def contamination(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, thr
     grams = it.dropDuplicates(["_item"]).select("_item", "n", F.explode(_grams(F.col("w"), shingle)).alias("s"))
     shared = d.join(grams, "s").groupBy("doc_id", "_t", "_item", "n").agg(F.count(F.lit(1)).alias("n_shared"))
     c = cand.select(F.col("doc_id").alias("_id"), F.col("_t").alias("_u"), F.col("_item").alias("_i"), "need")
-    shared = shared.join(c, shared.doc_id.eqNullSafe(F.col("_id")) & (shared._t == F.col("_u")) & (shared._item == F.col("_i"))).where("n_shared >= need")
-    pairs = shared.join(it.select("item_id", "_item"), "_item")
-    return pairs.groupBy("doc_id", "item_id").agg(F.max("n").cast("long").alias("n_shingles"), F.max("n_shared").cast("long").alias("n_shared"), F.max(F.col("n_shared") / F.col("n")).alias("containment"))
+    on = shared.doc_id.eqNullSafe(F.col("_id")) & (shared._t == F.col("_u")) & (shared._item == F.col("_i"))
+    return shared.join(c, on).where("n_shared >= need").select("doc_id", "_t", "_item", "n", "n_shared"), it
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without documents that contain an item; all columns stay."""
-    bad = written(contamination(docs, items, shingle, threshold).select(F.col("doc_id").alias("_bad")).distinct(), "decon-bad")
-    return docs.join(bad, docs.doc_id.eqNullSafe(F.col("_bad")), "left_anti")
+    """``docs`` without rows whose text contains an item; all columns stay, whatever their names.
+
+    Rows are judged one by one by their text: of rows that share a doc_id (or have none) only those with an
+    item go; of repeated rows all or none. Null, empty and wordless texts stay. Empty tables change nothing.
+    """
+    bad = _matches(docs, items, shingle, threshold)[0].select(F.col("doc_id").alias("_bad"), F.col("_t").alias("_text")).distinct()
+    bad = written(bad, "decon-bad")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_t"))
+    rows = rows.join(bad, rows._id.eqNullSafe(F.col("_bad")) & (rows._t == F.col("_text")), "left_anti")
+    return rows.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def op5_decontaminate(spark, sf_dir):
