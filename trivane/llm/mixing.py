@@ -13,6 +13,8 @@ over the hash threshold makes the words taken miss the target by no more than ab
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from .common import WORD, written
 
 #: A step that lowers the largest relative miss below this ends the Newton iterations.
 TOLERANCE = 1e-7
+#: Halving the bracket alone would do by then; a miss that is left is told by a warning.
 MAX_STEPS = 60
 #: The threshold search splits its interval in so many parts, so many times.
 PARTS, ROUNDS = 256, 3
@@ -89,6 +92,8 @@ def balance(hist: DataFrame, targets: DataFrame, cap: int = 3) -> DataFrame:
         worst = state.agg(F.max(F.when((F.col("hi") - F.col("lo") > 1e-9) & (F.col("lam") < 1e5), F.col("miss")))).first()[0]
         if worst is None or worst <= TOLERANCE:
             break
+    else:
+        warnings.warn(f"after {MAX_STEPS} Newton steps a source's words miss its target by {worst:.2g} of it; rounding goes on from there", stacklevel=2)
     return state.select("source", "mean", "lam")
 
 
