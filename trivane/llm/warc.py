@@ -7,7 +7,7 @@ independent Zstandard frames of about ``FRAME_BYTES`` of records each, followed
 skippable frame (the public seekable format: magic 0x184D2A5E, per frame compressed and decompressed
 size, footer with frame count, descriptor and magic 0x8F92EAB1). ``zstd -d`` can read it whole; a
 reader can seek to one frame. The index maps record identifiers to (bundle, frame, offset in frame,
-length).
+length); where a frame lies in its bundle is read from the bundle's own seek table.
 
 Every attempt of a task writes under names of its own, and only files named by the index of the
 attempt that Spark accepted are ever read, so lost executors and repeated attempts do no harm. Memory
@@ -36,10 +36,12 @@ BUNDLE_BYTES = 64 * 1024 * 1024
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 DATE = "2000-01-01T00:00:00Z"  # no clock: reruns give equal bytes
 
-INDEX = "record_id string, page_id long, bundle string, frame int, frame_at long, frame_bytes int, offset int, length int"
+INDEX = "record_id string, page_id long, bundle string, frame int, offset long, length long"
 
 
 def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a bundle's address; s3a, as Hadoop names it, is s3 here."""
+    uri = "s3" + uri[3:] if uri.startswith("s3a:") else uri
     return pafs.FileSystem.from_uri(uri) if ":" in uri else (pafs.LocalFileSystem(), uri)
 
 
@@ -104,7 +106,7 @@ class BundleWriter:
             return
         packed = self.zstd.compress(bytes(self.buffer))
         self.out.write(packed)
-        self.index += [(rid, pid, self.uri, len(self.frames), self.at, len(packed), offset, length) for rid, pid, offset, length in self.entries]
+        self.index += [(rid, pid, self.uri, len(self.frames), offset, length) for rid, pid, offset, length in self.entries]
         self.frames.append((len(packed), len(self.buffer)))
         self.at += len(packed)
         self.buffer, self.entries = bytearray(), []
@@ -117,23 +119,26 @@ class BundleWriter:
         return self.index
 
 
-def seek_table(uri: str) -> list[tuple[int, int, int]]:
+def frames_of(f: pa.NativeFile, uri: str) -> list[tuple[int, int, int]]:
     """(start, compressed size, decompressed size) of each frame, from the bundle's footer."""
-    fs, path = _fs(uri)
-    with fs.open_input_file(path) as f:
-        f.seek(f.size() - 9)
-        n, _, magic = struct.unpack("<IBI", f.read(9))
-        if magic != SEEKABLE_MAGIC:
-            raise ValueError(f"{uri} has no seek table")
-        f.seek(f.size() - 9 - 8 * n)
-        pairs = list(struct.iter_unpack("<II", f.read(8 * n)))
+    f.seek(f.size() - 9)
+    n, _, magic = struct.unpack("<IBI", f.read(9))
+    if magic != SEEKABLE_MAGIC:
+        raise ValueError(f"{uri} has no seek table")
+    f.seek(f.size() - 9 - 8 * n)
     out, at = [], 0
-    for packed, plain in pairs:
+    for packed, plain in struct.iter_unpack("<II", f.read(8 * n)):
         out.append((at, packed, plain))
         at += packed
     return out
 
 
+def seek_table(uri: str) -> list[tuple[int, int, int]]:
+    fs, path = _fs(uri)
+    with fs.open_input_file(path) as f:
+        return frames_of(f, uri)
+
+
 def payload_roles(pages: DataFrame) -> DataFrame:
     """(page_id, digest, bytes, refers_to) of distinct pages; refers_to is null for responses."""
     body = F.coalesce("html", F.lit(""))
@@ -147,7 +152,7 @@ def payload_roles(pages: DataFrame) -> DataFrame:
 def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
     """Write all ``pages`` (page_id, url, html) as bundles below ``folder``; return the index.
 
-    A null html is an empty payload, a null url gives the record's own identifier as target. Pages
+    Records are named by page_id, so rows that share one share a name as well. A null html is an empty payload, a null url gives the record's own identifier as target. Pages
     with equal page_id and equal html play one role; a null page_id is never referred to. An empty
     table writes no bundle. Other columns are ignored.
     """
@@ -159,7 +164,7 @@ def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = None
-        schema = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("bundle", pa.string()), ("frame", pa.int32()), ("frame_at", pa.int64()), ("frame_bytes", pa.int32()), ("offset", pa.int32()), ("length", pa.int32())])
+        schema = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("bundle", pa.string()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())])
         packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
         for batch in batches:
             cols = [batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "url", "html", "digest", "bytes", "refers_to")]
@@ -185,7 +190,7 @@ def read_bundles(index: DataFrame, payloads: bool = True) -> DataFrame:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, at, file, frame, zstd = None, None, None, b"", zstandard.ZstdDecompressor()
+        name, at, file, table, frame, zstd = None, None, None, [], b"", zstandard.ZstdDecompressor()
         rows, held = [], 0
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
         out = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
@@ -196,10 +201,12 @@ def read_bundles(index: DataFrame, payloads: bool = True) -> DataFrame:
                     if file:
                         file.close()
                     name, at, file = r["bundle"], None, fs.open_input_file(path)
-                if r["frame_at"] != at:
-                    at = r["frame_at"]
-                    file.seek(at)
-                    frame = zstd.decompress(file.read(r["frame_bytes"]))
+                    table = frames_of(file, name)
+                if r["frame"] != at:
+                    at = r["frame"]
+                    begin, packed, _ = table[at]
+                    file.seek(begin)
+                    frame = zstd.decompress(file.read(packed))
                 x = parse_record(frame[r["offset"] : r["offset"] + r["length"]])
                 h, kind = x["headers"], x["headers"]["WARC-Type"]
                 digest, size = h["WARC-Payload-Digest"].removeprefix("sha256:"), int(x["http"]["Content-Length"])
