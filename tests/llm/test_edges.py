@@ -135,3 +135,29 @@ def test_warc(spark, tmp_path):
     want = {1: ("response", None, 0), 2: ("response", None, 99), 3: ("response", None, 99), 4: ("response", None, 100), 5: ("revisit", 4, 100), None: ("revisit", 4, 100), 6: ("response", None, 700_000), 7: ("revisit", 6, 700_000)}
     assert len(got) == len(rows) and all((r.record_type, r.refers_to, r.payload_bytes) == want[r.page_id] for r in got)
     assert write_bundles(pages.where("false"), f"file://{tmp_path}/e").count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_every_stage_takes_odd_rows(spark, odd, empty, name):
+    """Null, empty, blank and very long texts, repeated rows and a missing identifier, on each stage alone."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = odd.select(*corpus_pipeline.COLUMNS)
+    got = stage(spark, docs, SF).collect()
+    assert stage(spark, empty.select(*corpus_pipeline.COLUMNS), SF).count() == 0
+    rows = sorted(((r.doc_id, r.text) for r in got), key=repr)
+    if name == "n-gram Jaccard join":
+        assert len(rows) == len(ODD) - 2 and {i for i, _ in rows} == {i for i, _ in ODD} - {8}
+    elif name == "mixing sources":
+        assert {i for i, _ in rows} <= {i for i, _ in ODD} and all(0 < r.copies <= 3 for r in got)
+    else:  # none is toxic, holds an item or personal data: all stay as they are
+        assert rows == sorted(ODD, key=repr)
+
+
+def test_decontamination_by_row(spark, odd):
+    """Of rows that share an identifier only those with an item go; columns may have any name."""
+    item = "one two three four five six seven"
+    rows = [(1, f"start {item} end", 1), (1, "other text", 2), (None, item, 3), (None, "clean text", 4), (2, item.upper(), 5), (2, item.upper(), 6), (3, None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _bad int").selectExpr("*", "1 as _t", "2 as _row", "3 as h")
+    items = spark.createDataFrame([(9, item)], "item_id long, text string")
+    got = decontaminate(docs, items)
+    assert got.columns == docs.columns and sorted(r._bad for r in got.collect()) == [2, 4, 7]

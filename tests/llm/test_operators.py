@@ -292,8 +292,9 @@ def test_bundles_are_seekable(tmp_path):
     index = w.close()
     table = warc.seek_table(path)
     data = open(path, "rb").read()
-    assert len(table) > 3 and sorted({(r[4], r[5]) for r in index}) == [(a, n) for a, n, _ in table]
-    for _, pid, _, frame, at, size, offset, length in (index[0], index[177], index[-1]):
+    assert len(table) > 3 and sorted({r[3] for r in index}) == list(range(len(table)))
+    for _, pid, _, frame, offset, length in (index[0], index[177], index[-1]):
+        at, size, _ = table[frame]
         plain = zstandard.ZstdDecompressor().decompress(data[at : at + size])
         assert len(plain) == table[frame][2] and warc.parse_record(plain[offset : offset + length])["payload"] == bodies[pid]
     whole = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
@@ -362,3 +363,112 @@ def test_pipeline_stage_by_stage(spark):
     before, after = out["toxicity"]
     assert 0.02 < 1 - after.count() / before.count() < 0.3
     assert ids(out["mixing sources"][1]) <= ids(out["PII"][1])
+
+
+def test_license_detections_against_brute_force(spark, monkeypatch):
+    """Matches, suppression, labels and score by plain Python; runs of few items, so that walks cross their borders."""
+    monkeypatch.setattr(licenses, "RUN", 3)
+    r = random.Random(8)
+    vocabulary = sorted({w for _, label, key, pattern, _ in licenses.rules() for w in [key, *re.findall(r"[a-z0-9]+", label)]} | {"the", "license", "version", "under", "or", "later", "only", "public", "2", "3", "0"})
+    names = ["gnu general public license version 2 or later", "apache license", "cc by", "mit license", "spdx license identifier mit", "licensed under the apache license version 2 0", "gpl v3", "permission is hereby granted"]
+    rows = [(i, " ".join(r.choice(names) if r.random() < 0.4 else r.choice(vocabulary) for _ in range(r.choice([0, 3, 40, 150])))) for i in range(60)]
+    rows.append((60, "mit license " * 2000))
+    table = [(rank, label, key, re.compile(pattern), p) for rank, label, key, pattern, p in licenses.rules()]
+    got = {x.doc_id: x for x in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        norm = f" {text.strip()} "
+        words = set(norm.split())
+        found = []
+        for rank, label, key, pattern, p in table:
+            if key in words:
+                for m in pattern.finditer(norm):
+                    first = norm.count(" ", 0, m.start()) - 1
+                    found.append((first, -(first + m[0].count(" ")), -p, rank, label))
+        left = []
+        for first, last, p, _, label in sorted(found):
+            if not any(a <= first and -last <= b and q >= -p for _, a, b, q in left):
+                left.append((label, first, -last, -p))
+        assert [tuple(x) for x in got[i].detections] == left, text
+        own = {label for phrase, label in licenses.BASE if f" {phrase} " in norm}
+        assert got[i].labels == ",".join(sorted({x[0] for x in left} | own))
+        score = 1.0
+        for _, p in {(x[0], x[3]) for x in left}:
+            score *= 1 - 0.25 * p
+        assert abs(got[i].score - (1 - score)) < 1e-9
+
+
+def test_scores_against_plain_formulas():
+    """The machine's scores pair by pair, the discriminant's by densities."""
+    from trivane.llm import quality
+
+    r = np.random.default_rng(4)
+    m = toxicity.FactorizationMachine(np.arange(0, 40, 2), 0.3, r.normal(size=20), r.normal(size=(20, 8)))
+    sets = [np.unique(r.choice(45, 12)).astype(np.int32) for _ in range(30)] + [np.zeros(0, np.int32)]
+    z = m.logits(*m.kept_of(sets), len(sets))
+    for s, got in zip(sets, z, strict=True):
+        at = [int(x) // 2 for x in s if x % 2 == 0 and x < 40]
+        want = 0.3 + sum(m.w[i] for i in at) + sum(m.v[i] @ m.v[j] for k, i in enumerate(at) for j in at[:k])
+        assert abs(got - want) < 1e-9
+    x = np.concatenate([r.normal(size=(200, 5)), r.normal(size=(150, 5)) * [1, 2, 1, 3, 1] + 1])
+    y = np.repeat([0, 1], [200, 150])
+    model = quality.fit(x, y)
+    c = np.clip((x - x.mean(0)) / x.std(0), -quality.REACH, quality.REACH)
+    logs = []
+    own = [np.cov(c[y == k].T, bias=True) for k in (0, 1)]
+    pooled = (own[0] * 200 + own[1] * 150) / 350
+    for k, n in ((0, 200), (1, 150)):
+        s = (1 - quality.TOWARDS_POOLED) * own[k] + quality.TOWARDS_POOLED * pooled
+        s = (1 - quality.TOWARDS_DIAGONAL) * s + quality.TOWARDS_DIAGONAL * np.diag(np.diag(s)) + quality.RIDGE * np.eye(5)
+        d = c - c[y == k].mean(0)
+        logs.append(np.log(n / 350) - np.linalg.slogdet(s)[1] / 2 - np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d) / 2)
+    assert np.abs(model.difference(x) - (logs[1] - logs[0])).max() < 1e-8
+
+
+def test_mixture_against_plain_rates(spark):
+    """Targets, entropy-balanced rates by bisection, and copies that round them."""
+    r = random.Random(5)
+    rows = [(i, "abcd"[min(i % 5, 3)], " ".join("w" * r.choice([0, 1, 3, 10, 40, 200]))) for i in range(400)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    by = {}
+    for x in got:
+        by.setdefault(x.source, []).append(x)
+    total = sum(x["size"] for x in got)
+    open_, left, target = sorted(by), total, {}
+    while open_:  # share by weight; what is above three times its source goes round again
+        share = {s: left * (1, 2, 3)[sorted(by).index(s) % 3] / sum((1, 2, 3)[sorted(by).index(q) % 3] for q in open_) for s in open_}
+        over = [s for s in open_ if share[s] > 3 * by[s][0].source_size]
+        for s in over or open_:
+            target[s] = 3 * by[s][0].source_size if over else share[s]
+        left -= sum(target[s] for s in over)
+        open_ = [s for s in open_ if s not in over] if over else []
+    for s, docs in by.items():
+        sizes = np.array([x["size"] for x in docs], float)
+        assert abs(docs[0].target - target[s]) < 1e-6 * target[s]
+        mean, lo, hi = sizes.mean(), -1e3, 1e3
+        rate = lambda lam: np.minimum(3, np.exp(np.minimum(lam * sizes / mean, 50)))  # noqa: E731, B023
+        for _ in range(200):
+            lam = (lo + hi) / 2
+            lo, hi = (lam, hi) if (rate(lam) * sizes).sum() < target[s] else (lo, lam)
+        some = sizes > 0
+        if target[s] < 3 * sizes.sum():
+            assert np.abs(np.array([x.rate for x in docs])[some] - rate(lam)[some]).max() < 1e-4
+        assert all(x.copies in (int(x.rate), int(x.rate) + 1) and x.copies <= 3 and x.taken == x.copies * x["size"] for x in docs)
+        assert abs(sum(x.taken for x in docs) - target[s]) <= 200
+
+
+def test_pseudonyms_of_many_values_and_tokens():
+    p = pii.Pseudonyms(b"one")
+    text = "on 2021-03-04 and " * 5000
+    new, spans = p.rewrite(text)
+    assert len(spans) == 5000 and new == f"on {p.value('date', '2021-03-04')} and " * 5000
+    for token in ("ghp_0123456789abcdefABCDEF0123456789abcd", "glpat-ABCDEFGHIJKLMNOPQRST", "xoxb-123456789012-abcdefABCDEF"):
+        assert token[6:] not in p.rewrite(f"use {token} here")[0]
+    local = "a1" * 60
+    assert local not in p.rewrite(f"{local}@example.org")[0]
+    # Overlaps by brute force: earlier kinds win, spans never overlap.
+    mixed = "token=2021-03-04x5 4111-1111-1111-1111 10.1.2.3 a@b.c 8.8.8.8 " * 50
+    spans = p.rewrite(mixed)[1]
+    taken = set()
+    for _, a, b in spans:
+        assert not taken & set(range(a, b))
+        taken |= set(range(a, b))
