@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import scratch, written
 
-__all__ = ["LOWER", "UPPER", "WORD", "arrow_rows", "bound_batches", "let", "lower_ascii", "partitions", "plan_bytes", "scratch", "written"]
+__all__ = ["LOWER", "UPPER", "WORD", "arrow_rows", "bound_batches", "lean", "let", "lower_ascii", "partitions", "plan_bytes", "scratch", "trim", "written"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,6 +51,25 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def trim() -> None:
+    """Give memory that nothing uses back to the system: Python workers are kept from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # C libraries other than glibc have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run):
+    """``run``, a function for mapInArrow, leaving a lean worker behind."""
+
+    def lean_run(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return lean_run
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Bytes of ``df`` as the planner estimates them, 0 where it cannot. Decides how finely work is dealt, never results."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

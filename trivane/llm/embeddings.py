@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 from .components import components
 from .jaccard import _batch
 
@@ -155,7 +155,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                     yield _batch(out, np.full(len(r), t, np.int32), both[r, c], np.full(len(r), dim, np.int32), node[at][r], home[r, 0])
 
     # Identifiers alone are dealt into buckets; vectors follow once the groups are known.
-    entries = written(nodes.select("node", "v").mapInArrow(enter, "t int, bucket long, dim int, node long, first long"), "vector-entries")
+    entries = written(nodes.select("node", "v").mapInArrow(lean(enter), "t int, bucket long, dim int, node long, first long"), "vector-entries")
     key = ["t", "bucket", "dim"]
     sizes = written(entries.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "vector-buckets")
     few = sizes.where(F.col("m") <= BLOCK).agg(F.sum("m")).first()[0] or 0

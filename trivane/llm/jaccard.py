@@ -37,18 +37,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, partitions, plan_bytes, written
+from .common import arrow_rows, lean, partitions, plan_bytes, written
 from .components import components
 from .textops import U, chunks, gram_sets, mix
 
 #: Counters of the frequency sketch, at least and at most, and the rows that they travel in.
-LEAST_WIDTH, MOST_WIDTH, SLICES = 1 << 20, 1 << 24, 128
+LEAST_WIDTH, MOST_WIDTH, SLICES = 1 << 20, 1 << 23, 128
 #: Bytes of text for each counter, and for each partition of the token space.
 COUNTER_BYTES, PART_BYTES = 16, 64 << 20
 #: Longer lists are joined in blocks of so many nodes.
 LIST, BLOCK = 48, 256
 ROWS = 2000
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 8 << 20
 
 
 def need(n1, n2, percent: int):
@@ -108,7 +108,7 @@ def _nodes_and_counts(docs: DataFrame, shingle: int, width: int) -> DataFrame:
             n = pa.nulls(len(keep), pa.int64())
             yield _batch(schema, n, n, n, n, keep, [zlib.compress(parts[k].tobytes(), 1) for k in keep])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp long, fp2 long, slice int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, fp long, fp2 long, slice int, counts binary")
 
 
 def _add(batches):
@@ -126,8 +126,8 @@ def _add(batches):
 def _levels(rows: DataFrame, width: int) -> np.ndarray:
     """Logarithmic counts, one byte a counter: at most ``MOST_WIDTH`` whatever the corpus."""
     p = partitions(rows.sparkSession)
-    rows = rows.select("slice", "counts").repartition(p).mapInArrow(_add, "slice int, counts binary")
-    rows = rows.repartition(p, "slice").mapInArrow(_add, "slice int, counts binary")
+    rows = rows.select("slice", "counts").repartition(p).mapInArrow(lean(_add), "slice int, counts binary")
+    rows = rows.repartition(p, "slice").mapInArrow(lean(_add), "slice int, counts binary")
     out = np.zeros((SLICES, width // SLICES), np.uint8)
     for r in rows.toLocalIterator():  # at most SLICES rows
         x = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
@@ -181,7 +181,7 @@ def _postings(docs: DataFrame, shingle: int, percent: int, levels, shared: froze
         if held:
             yield from flush(held)
 
-    return docs.select("text").mapInArrow(run, "p int, token binary, fp binary, n binary, pos binary")
+    return docs.select("text").mapInArrow(lean(run), "p int, token binary, fp binary, n binary, pos binary")
 
 
 def _merge(percent: int):
@@ -377,9 +377,9 @@ def jaccard_groups(docs: DataFrame, shingle: int = 4, percent: int = 85) -> Data
         head = lambda c: sets.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col("q").alias(f"q{c}"))
         side = lambda c: sets.select(F.col("fp").alias(c), F.col("s").alias(f"s{c}"))
         near = pairs.join(head("b"), "b").join(head("a"), "a").select("a", "b", "na", "nb", "qa", "qb")
-        pairs = written(near.mapInArrow(_reach(percent, levels), "a long, b long"), "jaccard-near")
+        pairs = written(near.mapInArrow(lean(_reach(percent, levels)), "a long, b long"), "jaccard-near")
         both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
-        links = both.mapInArrow(_verify(percent), "a long, b long")
+        links = both.mapInArrow(lean(_verify(percent)), "a long, b long")
         if not hot.isEmpty():
             links = links.union(_block_links(hot, wanted, sets, percent))
         links = written(links, "jaccard-links")
@@ -413,7 +413,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, percent: int, lev
 
     ids = wanted.select(F.col("doc_id").alias("_wanted")).distinct()
     some = docs.select("doc_id", "text").join(ids, docs.doc_id.eqNullSafe(F.col("_wanted")), "left_semi")
-    found = written(some.mapInArrow(run, "id long, f long, n long, q binary, s binary"), "jaccard-sets")
+    found = written(some.mapInArrow(lean(run), "id long, f long, n long, q binary, s binary"), "jaccard-sets")
     # Nodes met in several documents (repeated rows, rows that share a doc_id) keep one.
     twice = found.groupBy("f").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("first")).where("rows > 1")
     if not twice.isEmpty():

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, lean
 
 
 ROUNDS = 8
@@ -303,7 +303,7 @@ def pseudonymise(docs: DataFrame, key: bytes = EXAMPLE_KEY, make: Callable[[byte
             cols = [col if i == k else c for i, c in enumerate(b.columns)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int32()), pa.array(kinds, pa.string())], names=[*b.schema.names, "n_pii", "pii_kinds"])
 
-    return keep.mapInArrow(run, schema)
+    return keep.mapInArrow(lean(run), schema)
 
 
 def op9_pii(spark, sf_dir):

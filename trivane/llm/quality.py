@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bound_batches
+from .common import arrow_rows, bound_batches, lean
 from .jaccard import _batch
 from .textops import ALNUM, NOT_SPACE, chunks, mix, word_hashes, word_spans
 from .toxicity import crc_fold, cut_point, labelled_sample, sigmoid
@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
 
     with arrow_rows(docs.sparkSession, 1000):
         sample = labelled_sample(docs, labels, label, folds, held, size).select("doc_id", "y", "text")
-        got = sorted((r["doc_id"], r["y"], r["x"]) for r in sample.mapInArrow(run, "doc_id long, y int, x binary").collect())
+        got = sorted((r["doc_id"], r["y"], r["x"]) for r in sample.mapInArrow(lean(run), "doc_id long, y int, x binary").collect())
     x = np.array([np.frombuffer(r[2]) for r in got]) if got else np.zeros((0, len(NAMES)))
     return fit(x, np.array([r[1] for r in got]))
 
@@ -167,7 +167,7 @@ def score_quality(docs: DataFrame, model: Discriminant) -> DataFrame:
             more = [pa.array(scores), pa.array((scores >= CUT).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "score", "predicted"])
 
-    return keep.mapInArrow(run, cast)
+    return keep.mapInArrow(lean(run), cast)
 
 
 def op6_quality(spark, sf_dir):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bound_batches, partitions, plan_bytes, written
+from .common import arrow_rows, bound_batches, lean, partitions, plan_bytes, written
 from .jaccard import _batch
 from .textops import U, chunks, grams, mix, word_hashes, word_spans
 
@@ -348,7 +348,7 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     with arrow_rows(spark, ROWS):
         for k in range(len(levels)):
             final = k == len(levels) - 1
-            asked = with_replies("inner").mapInArrow(_send(k, levels, parts), ASKED_SQL)
+            asked = with_replies("inner").mapInArrow(lean(_send(k, levels, parts)), ASKED_SQL)
             said = asked.groupBy("p").applyInArrow(_answer(final), SAID_SQL)
             said = said.groupBy("s").applyInArrow(_gather, "doc_id long, key long, s long, local binary, rest binary")
             # Repeated rows may have been sent from several buffers; each one's answers are complete.
@@ -362,7 +362,7 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
         for k in range(len(levels)):
             if f"r{k}" not in known.columns:
                 known = known.withColumn(f"r{k}", F.lit(None).cast(bits))
-        out = with_replies("left").mapInArrow(_finish(levels, parts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
+        out = with_replies("left").mapInArrow(lean(_finish(levels, parts)), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
     return out
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bound_batches, written
+from .common import arrow_rows, bound_batches, lean, written
 from .jaccard import _batch
 from .textops import ALNUM, U, chunks, word_hashes, word_spans
 
@@ -230,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 
     with arrow_rows(docs.sparkSession, 1000):
         sample = labelled_sample(docs, labels, label, folds, held, size).select("doc_id", "y", "text")
-        got = sorted((r["doc_id"], r["y"], r["terms"]) for r in sample.mapInArrow(run, "doc_id long, y int, terms binary").collect())
+        got = sorted((r["doc_id"], r["y"], r["terms"]) for r in sample.mapInArrow(lean(run), "doc_id long, y int, terms binary").collect())
     sets = [np.frombuffer(zlib.decompress(x[2]), np.int32) for x in got]
     return fit_with_cut(sets, np.array([x[1] for x in got]))
 
@@ -253,7 +253,7 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
             more = [pa.array(scores), pa.array((scores >= CUT).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "score", "predicted"])
 
-    return keep.mapInArrow(run, cast)
+    return keep.mapInArrow(lean(run), cast)
 
 
 def op3_toxicity(spark, sf_dir):

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, scratch, written
+from .common import arrow_rows, lean, scratch, written
 
 MIN_REVISIT_BYTES = 100
 FRAME_BYTES = 256 * 1024
@@ -178,7 +178,7 @@ def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
         if writer:
             yield packed(writer.close())
 
-    return joined.select("page_id", "url", "html", "digest", "bytes", "refers_to").mapInArrow(write, INDEX)
+    return joined.select("page_id", "url", "html", "digest", "bytes", "refers_to").mapInArrow(lean(write), INDEX)
 
 
 def read_bundles(index: DataFrame, payloads: bool = True) -> DataFrame:
@@ -223,7 +223,7 @@ def read_bundles(index: DataFrame, payloads: bool = True) -> DataFrame:
         if file:
             file.close()
 
-    return index.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return index.mapInArrow(lean(read), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def op10_warc_round_trip(spark, sf_dir):
