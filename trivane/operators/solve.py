@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ternary as t
+from ..storage import scratch
 
 CONSTANTS = {"neg": -1, "zero": 0, "pos": 1}
 NAMES = {v: k for k, v in CONSTANTS.items()}
 #: Evaluation on constants, for folding.
 FOLD = {
     "mv-neg": lambda a: -a, "mv-add": lambda a, b: min(1, a + b + 1), "mv-mul": lambda a, b: max(-1, a + b - 1), "meet": min, "join": max,
+    "mv-sub": lambda a, b: max(-1, a - b - 1),
     "b-add": lambda a, b: 0 if 0 in (a, b) else min(1, a + b + 1), "merge": lambda a, b, c: sorted((a, b, c))[1],
 }
 COMMUTES = {"mv-add": (0, 1), "mv-mul": (0, 1), "merge": (1, 2)}
@@ -75,6 +77,64 @@ def normalise(e):
     return (op, *args)
 
 
+#: Operator of each rule in expressions, and how many inputs it takes: 0 for a fold of all.
+OPERATORS = {"Identity": (None, 1), "MvNeg": ("mv-neg", 1), "MvAdd": ("mv-add", 2), "MvMul": ("mv-mul", 2), "MvSub": ("mv-sub", 2), "Merge": ("merge", 3), "PowerProduct": ("mv-mul", 2),
+             "MeetAll": ("meet", 0), "JoinAny": ("join", 0), "BochvarFold": ("b-add", 0)}
+
+
+def rule_expression(rule: str, args: list):
+    """A rule over its inputs' expressions; inputs that are missing are pending."""
+    op, n = OPERATORS[rule]
+    if n == 0:
+        out = args[0] if args else "neg"
+        for x in args[1:]:
+            out = (op, out, x)
+        return out
+    args = (args + ["neg"] * n)[:n]
+    return args[0] if op is None else (op, *args)
+
+
+def member_forms(members: dict[int, tuple[int, str, list[int], list[int]]]) -> dict[int, object]:
+    """Normal forms of a section's members: {node: (value, rule, inputs, their values)}.
+
+    An input node is its value; an input that is no member is a symbol, whatever its value, and is never
+    rewritten; a member met again below itself is a symbol as well.
+    """
+    forms, open_ = {}, set()
+
+    def form(n):
+        if n in forms:
+            return forms[n]
+        if n in open_:
+            return f"mu_{n}"
+        value, rule, srcs, _ = members[n]
+        if rule == "Input":
+            out = NAMES[value]
+        else:
+            open_.add(n)
+            out = normalise(rule_expression(rule, [form(s) if s in members else f"bnd_{s}" for s in srcs]))
+            open_.discard(n)
+        forms[n] = out
+        return out
+
+    for n in sorted(members):
+        form(n)
+    return forms
+
+
+def settle(members: dict[int, tuple[int, str, list[int], list[int]]], oscillates: bool = False) -> tuple[str, int | None]:
+    """(outcome, value) of a section: all members come to one constant that is no contest, or what stands against it."""
+    forms = member_forms(members)
+    found = {CONSTANTS.get(f) if isinstance(f, str) else None for f in forms.values()}
+    agreed = found - {None, 0}
+    if len(agreed) > 1:
+        return "Structural", None
+    if found and found == agreed:
+        return "Accepted", agreed.pop()
+    pinned = any(v == 0 for _, rule, srcs, vals in members.values() if rule != "Input" for s, v in zip(srcs, vals, strict=True) if s not in members)
+    return ("Boundary" if pinned or oscillates else "Structural"), None
+
+
 def normalised(expressions: DataFrame) -> DataFrame:
     """(id, expr) with the normal form of each expression and its constant, null if it is none. A region's
     expression has at most 64 nodes, so a batch at a time goes through plain Python."""
@@ -111,19 +171,28 @@ def section(values: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int |
 
 
 def evaluate_region(values: DataFrame, edges: DataFrame, rules: DataFrame, levels: DataFrame) -> DataFrame:
-    """Lattice evaluation (pure rules, pending overwrites) of computed nodes, level by level; all values (node, val)."""
-    from ..storage import written
+    """Lattice evaluation (pure rules on any values, pending overwrites) of computed nodes, level by level: all values (node, val).
 
+    ``edges`` may have ``pos``, an input's position (from 0), for rules that tell their inputs apart; without it
+    inputs are in order of their identifiers. Each level writes its own nodes and reads only its inputs.
+    """
+    spark = values.sparkSession
     top = levels.agg(F.max("level")).first()[0] or 0
-    now = values.select("node", "val")
+    if "pos" not in edges.columns:
+        edges = edges.withColumn("pos", F.row_number().over(Window.partitionBy("tgt").orderBy("src")) - 1)
+    base = scratch(spark, "region")
+    schema = values.select("node", F.col("val").cast("int").alias("val")).schema
+    values.select("node", F.col("val").cast("int").alias("val")).join(levels.where("level > 0"), "node", "left_anti").write.parquet(f"{base}/level=0")
     for k in range(1, top + 1):
         at = levels.where(F.col("level") == k).select(F.col("node").alias("tgt")).join(rules.withColumnRenamed("node", "tgt"), "tgt")
-        g = at.join(edges, "tgt").join(now.withColumnRenamed("node", "src"), "src")
+        now = spark.read.schema(schema).parquet(base).select(F.col("node").alias("src"), "val")
+        g = at.join(edges, "tgt").join(now, "src").groupBy(F.col("tgt").alias("node"), "rule")
         out = F.lit(None).cast("int")
-        for rule in ("MeetAll", "JoinAny", "BochvarFold"):
-            out = F.when(F.first("rule") == rule, t.pure(rule, F.col("val"), F.lit(0))).otherwise(out)
-        now = written(now.join(at.withColumnRenamed("tgt", "node"), "node", "left_anti").union(g.groupBy(F.col("tgt").alias("node")).agg(out.alias("val"))), f"region-{k}")
-    return now
+        for rule in t.RULES:
+            out = F.when(F.col("rule") == rule, F.col(f"_{rule}")).otherwise(out)
+        found = g.agg(*[t.pure(rule, F.col("val"), F.col("pos")).alias(f"_{rule}") for rule in t.RULES]).select("node", out.alias("val"))
+        found.write.parquet(f"{base}/level={k}")
+    return spark.read.schema(schema).parquet(base).select("node", "val")
 
 
 def tree_reduce(cells: DataFrame, fanout: int, f) -> DataFrame:

@@ -1,17 +1,16 @@
 """Propagation level by level over a directed acyclic graph.
 
-A level is one join, one aggregation and one window over the target node; each level's changes are
-written to the shared folder, so plans stay small. The depth of the graph is the number of steps.
+Each level's changes and what they bring to later levels are written to the shared folder once, so plans stay
+small and a level reads only what concerns it (``engine``). The depth of the graph is the number of steps.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import ternary as t
-from ..operators import oplog
-from ..storage import written
+from ..storage import drop, scratch, written
 
 STEP_LIMIT = 100_000
 
@@ -21,54 +20,53 @@ class StepLimitExceeded(RuntimeError):
 
 
 def levels(edges: DataFrame, limit: int = STEP_LIMIT) -> DataFrame:
-    """(node, level) of every node of (src, tgt): inputs are level 0, others one above their deepest input."""
-    e = written(edges.select("src", "tgt").distinct(), "level-edges")
-    nodes = e.select(F.col("src").alias("node")).union(e.select("tgt")).distinct()
-    done = written(nodes.join(e.select(F.col("tgt").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)), "levels")
-    total, have, step = nodes.count(), done.count(), 0
-    while have < total:
+    """(node, level) of every node of (src, tgt): inputs are level 0, others one above their deepest input.
+
+    A step takes the edges from nodes just done off those that are left and adds the nodes that have none left;
+    both are written by themselves, and what is left shrinks from step to step.
+    """
+    spark = edges.sparkSession
+    left = written(edges.select("src", "tgt").distinct(), "level-edges")
+    schema, done = left.select(F.col("src").alias("node")).schema, scratch(spark, "levels")
+    nodes = left.select(F.col("src").alias("node")).union(left.select("tgt")).distinct()
+    nodes.join(left.select(F.col("tgt").alias("node")), "node", "left_anti").write.parquet(f"{done}/level=0")
+    step = 0
+    while not left.isEmpty():
         step += 1
         if step > limit:
             raise StepLimitExceeded(step)
-        open_ = e.join(done.select(F.col("node").alias("tgt")), "tgt", "left_anti")
-        blocked = open_.join(done.select(F.col("node").alias("src")), "src", "left_anti").select("tgt").distinct()
-        new = open_.select("tgt").distinct().join(blocked, "tgt", "left_anti").select(F.col("tgt").alias("node"), F.lit(step).alias("level"))
-        done = written(done.union(new), "levels", replaces=done)
-        now = done.count()
-        if now == have:
-            raise StepLimitExceeded(f"a cycle among {total - have} nodes")
-        have = now
-    return done
+        last = spark.read.schema(schema).parquet(f"{done}/level={step - 1}").withColumnRenamed("node", "src")
+        rest = written(left.join(last, "src", "left_anti"), "level-edges")
+        new = left.join(last, "src", "left_semi").select(F.col("tgt").alias("node")).distinct().join(rest.select(F.col("tgt").alias("node")), "node", "left_anti")
+        new.write.parquet(f"{done}/level={step}")
+        if spark.read.schema(schema).parquet(f"{done}/level={step}").isEmpty():
+            raise StepLimitExceeded(f"a cycle among the nodes after step {step}")
+        drop(spark, left._trivane_path)
+        left = rest
+    return spark.read.schema(schema.add("level", T.IntegerType())).parquet(done)
 
 
 def propagate(writes: DataFrame, rules: DataFrame, edges: DataFrame, limit: int = STEP_LIMIT) -> DataFrame:
-    """The change log (node, seq, old, val, level) of writes (seq, node, val) pushed through a graph.
+    """The change log (node, seq, old, val, level) of writes (seq, node, val) pushed through a graph that stays as it is.
 
     ``rules`` has (node, rule) of computed nodes, ``edges`` (src, tgt), parallel edges counted. Every node is
     evaluated at most once an operation, after all its inputs. A write to a computed node holds until
     an input of it next changes. Glitch-free, so the result does not depend on any processing order.
     """
-    lev = levels(edges, limit)
+    from . import engine
+
+    lev = written(levels(edges, limit), "levels-all")
     top = lev.agg(F.max("level")).first()[0] or 0
-    lev = lev.join(rules, "node", "left")
-    computed = lev.where("level > 0").select("node")
-    direct = oplog.effective(writes.join(computed, "node", "left_anti").select("node", "seq", "val"), "node")
-    log = written(direct.select("node", "seq", "old", "val", F.lit(0).alias("level")), "level-0")
-    force = writes.join(computed, "node", "left_semi").select("node", "seq", F.col("val").alias("eval"))
-    for k in range(1, top + 1):
-        targets = lev.where(F.col("level") == k).select(F.col("node").alias("tgt"), "rule")
-        into = edges.join(targets, "tgt").select("src", "tgt", "rule")
-        fan = into.groupBy("tgt").agg(F.count(F.lit(1)).alias("n"), F.first("rule").alias("rule"))
-        seen = log.join(into.select("src", "tgt"), log.node == F.col("src")).select(F.col("tgt").alias("node"), "seq", "old", "val")
-        w = Window.partitionBy("node").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-        c = oplog.deltas(seen, "node").join(fan.withColumnRenamed("tgt", "node"), "node")
-        c = c.withColumn("neg", F.col("n") + F.sum("d_neg").over(w)).withColumn("zero", F.sum("d_zero").over(w))
-        c = c.select("node", "seq", t.gated(F.col("rule"), F.col("neg"), F.col("zero"), F.col("n")).alias("eval"))
-        c = c.union(force.join(targets.select(F.col("tgt").alias("node")), "node", "left_semi").select("node", "seq", "eval"))
-        valued = c.withColumn("out", F.coalesce(F.last("eval", True).over(w), F.lit(-1)))
-        new = oplog.changes_of(valued, "node", "out").withColumn("level", F.lit(k))
-        log = written(log.union(new.select("node", "seq", "old", "val", "level")), f"level-{k}", replaces=log)
-    return log
+    born = F.lit(engine.BORN)
+    feed = engine.feed_row(rules.withColumn("ord", born), reset=F.lit(True), rule=F.col("rule"))
+    feed = feed.union(engine.feed_row(writes.withColumn("ord", F.col("seq")), set=F.col("val")))
+    feed = feed.join(lev, "node", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    at = lambda end, name: lev.select(F.col("node").alias(end), F.col("level").alias(name))
+    known = edges.select("src", "tgt").join(at("src", "slevel"), "src").join(at("tgt", "tlevel"), "tgt")
+    none = lambda kind: F.lit(None).cast(kind)
+    known = known.select("*", born.alias("since"), none("long").alias("until"), F.lit(False).alias("remote"), none("int").alias("r_capability"), none("long").alias("r_scope"), none("long").alias("r_lattice"))
+    rows, _ = engine.push_levels(written(feed, "level-feed"), written(known, "level-edges"), top)
+    return rows.where("not reset and old <> val").select("node", F.col("ord").alias("seq"), "old", "val", "level")
 
 
 def amplification(log: DataFrame) -> DataFrame:
