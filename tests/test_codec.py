@@ -41,7 +41,7 @@ def test_errors():
 
 
 def test_profiles():
-    f = {"profile_id": 1, "version": 2, "trust": 0, "assertion": 1, "delegation": 2, "observability": 3, "disclosure": 4, "issuer": 5, "session": 6, "generation": 7, "expiry": 8, "signature": b"s" * 64}
+    f = {"profile_id": 1, "version": 2, "trust": 1, "assertion": 1, "delegation": 2, "observability": 3, "disclosure": 4, "issuer": 5, "session": 6, "generation": 7, "expiry": 8, "signature": b"s" * 64}
     assert codec.profile_decode(codec.profile_encode(f)) == f
     one = codec.profile_decode(codec.profile_encode(f | {"version": 1}))
     assert (one["assertion"], one["disclosure"]) == (1, 1)
@@ -53,3 +53,46 @@ def test_read_log(spark, tmp_path):
         (tmp_path / f"{k}.bin").write_bytes(body)
     got = codec.read_log(spark, str(tmp_path)).orderBy("path", "pos").collect()
     assert [(r.path, r.opcode, r.stream_seq, len(r.payload)) for r in got] == [(k, o, s, n) for k in range(2) for o, s, n in ((3, 1, 9), (777, 2, 3), (8, 3, 8))]
+
+
+def test_profiles_have_three_trust_levels():
+    f = {"profile_id": 1, "version": 2, "assertion": 1, "delegation": 2, "observability": 3, "disclosure": 4, "issuer": 5, "session": 6, "generation": 7, "expiry": 8, "signature": b""}
+    for trust in (1, 2, 3):
+        assert codec.profile_decode(codec.profile_encode(f | {"trust": trust}))["trust"] == trust
+    for trust in (0, 4):
+        with pytest.raises(codec.CodecError, match="UnknownTrustLevel"):
+            codec.profile_decode(codec.profile_encode(f | {"trust": trust}))
+
+
+def test_damaged_logs(spark, tmp_path):
+    """What cannot be framed is a last record with an error; numbers from 2^63 on keep their bits."""
+    good = codec.preamble(path=0, session=2**64 - 5) + codec.record(3, codec.encode(3, {"node": 1, "val": 1}), session=2**64 - 5, seq=1)
+    for k, (tail, error) in enumerate([(b"\x01\x02", "HeaderTruncated"), (codec.record(3, b"x" * 9)[:-4], "RecordTruncated"), (codec.HEADER.pack(3, 0, 20, 0, 0, 0, 0, 2) + b"rest", "InvalidLength")]):
+        rows = list(codec.frames(good + tail))
+        assert [r[-1] and r[-1].split("(")[0] for r in rows] == [None, error]
+        (tmp_path / f"{k}.bin").write_bytes(good + tail)
+    got = codec.read_log(spark, str(tmp_path)).collect()
+    assert sorted(r.error.split("(")[0] for r in got if r.error) == ["HeaderTruncated", "InvalidLength", "RecordTruncated"]
+    assert {r.stream_session for r in got} == {-5}
+
+
+def test_bytes_to_values(spark, tmp_path):
+    """Two streams build and drive one graph; damaged, replayed and malformed records leave no trace."""
+    from trivane.plans import ingest
+
+    def stream(path, ops):
+        out = codec.preamble(path, 10 + path)
+        for i, (op, f, *seq) in enumerate(ops):
+            out += codec.record(op, f if isinstance(f, bytes) else codec.encode(op, f), session=10 + path, seq=seq[0] if seq else i + 1)
+        return out
+
+    edge = lambda k, s, t: (2, {"edge_id": k, "src": s, "tgt": t, "dep_kind": 0, "port_kind": 0, "port_name": ""})
+    node = lambda n, rule: (1, {"node": n, "typ": "t", "rule": rule, "attrs": {}})
+    one = [node(1, 0), node(2, 0), node(3, 7), edge(1, 1, 3), edge(2, 2, 3), (3, {"node": 1, "val": 1}), (777, b"??"), (3, b"short"), (3, {"node": 2, "val": 0}, 2)]
+    two = [(3, {"node": 2, "val": 1}), node(4, 2), edge(3, 3, 4), (8, {"node": 4}), (3, {"node": 9, "val": 1})]
+    (tmp_path / "a.bin").write_bytes(stream(0, one) + b"\0")
+    (tmp_path / "b.bin").write_bytes(stream(1, two))
+    result, refused = ingest.apply_logs(spark, str(tmp_path))
+    assert {r.node: r.val for r in result.values.collect()} == {1: 1, 2: 1, 3: 1, 4: -1}
+    assert sorted((r.path, r.pos, r.error.split("(")[0]) for r in refused.collect()) == [(0, 7, "PayloadTruncated"), (0, 8, "StreamSeqGap"), (0, 9, "HeaderTruncated")]
+    assert [(r.node, r.reason) for r in result.errors.collect()] == [(9, "NodeNotFound")]

@@ -17,18 +17,23 @@ def build(spark, rule, n):
     return g, ins, out
 
 
-@pytest.mark.parametrize(
-    ("rule", "n", "writes", "want"),
-    [
+CASES = [
         ("MvMul", 2, [(0, True)], None), ("MvMul", 2, [(0, True), (1, True)], True), ("MvAdd", 2, [(1, True), (0, False)], False), ("and", 2, [(0, True), (1, False)], False),
         ("or", 2, [(0, True)], None), ("or", 2, [(0, True), (1, True)], True), ("not", 1, [(0, True)], None), ("not", 1, [(0, False)], False), ("id", 1, [(0, True), (0, False), (0, None)], False),
-    ],
-)
-def test_push(spark, rule, n, writes, want):
-    g, ins, out = build(spark, rule, n)
-    for k, v in writes:
-        g.set(ins[k], v)
-    assert g.get(out) is want
+]
+
+
+def test_push(spark):
+    """All cases in one graph, so that it is evaluated once."""
+    g, outs = Graph(spark), []
+    for rule, n, writes, _ in CASES:
+        ins = [g.input(f"i{k}") for k in range(n)]
+        outs.append(g.computed("out", rule))
+        for i in ins:
+            g.connect(i, outs[-1])
+        for k, v in writes:
+            g.set(ins[k], v)
+    assert [g.get(x) for x in outs] == [want for *_, want in CASES]
 
 
 def test_glitch_free(spark):
@@ -64,15 +69,41 @@ def test_lazy_and_structure(spark):
     g.make_lazy(out)
     g.set(a, True)
     assert g.get(out) is None and g.demand(out) is True
-    g.set(a, False)
-    assert g.get(out) is True and g.demand(out) is False
-    g, (a,), out = build(spark, "id", 1)
-    g.set(a, True)
-    g.disconnect(a, out)
-    g.set(a, False)
-    assert g.get(out) is True and g.edge_count() == 0 and g.node_count() == 2
+    # A second pair: what is cut off keeps its value; what is connected later is not evaluated by that.
+    b, cut, late = g.input("b"), g.computed("cut", "id"), g.computed("late", "id")
+    g.connect(b, cut)
+    g.set(b, True)
+    g.disconnect(b, cut)
+    g.set(b, False)
+    g.connect(b, late)
+    gone = g.input("gone")
+    g.delete_node(gone)
+    assert g.input("next").id == gone.id + 1
     with pytest.raises(RuntimeError):
-        g.disconnect(a, out)
+        g.disconnect(b, cut)
+    for use in (lambda: g.set(gone, True), lambda: g.get(gone), lambda: g.connect(gone, cut)):
+        with pytest.raises(RuntimeError):
+            use()
+    assert g.get(cut) is True and g.get(late) is None and g.edge_count() == 2 and g.node_count() == 6
+
+
+def test_regions_and_stabilize(spark):
+    """Regions are hints; stabilizing takes a contested node to what its expression folds to."""
+    g, (a, b), out = build(spark, "and", 2)
+    g.declare_region(out, members=[a, b, out], stability="epoch_tracked", compile="lazy")
+    for wrong in ({"stability": "none"}, {"compile": "none"}):
+        with pytest.raises(ValueError):
+            g.declare_region(out, **wrong)
+    g.set(a, True)
+    g.set(b, True)
+    g.set(b, None)
+    free = g.computed("free", "MvMul")
+    g.set(free, False)
+    g.stabilize()
+    assert g.get(out) is True and g.get(free) is None and Graph(spark).values() == {}
+    empty = Graph(spark)
+    empty.stabilize()
+    assert empty.values() == {}
 
 
 def fold(writes, rules, edges):

@@ -48,12 +48,21 @@ def edges(ops: DataFrame) -> DataFrame:
     """edge_id, src, tgt, since_seq, until_seq: an edge ends with itself or with either end's next deletion."""
     e = ops.where("op = 2").select(F.col("seq").alias("edge_id"), F.col("other").alias("src"), F.col("node").alias("tgt"), F.col("seq").alias("since_seq"))
     own = ops.where("op = 7").select((F.col("seq") - 9).alias("edge_id"), F.col("seq").alias("e_seq"))
-    gone = ops.where("op = 6").select("node", F.col("seq").alias("n_seq"))
-    ends = e.select("edge_id", "since_seq", F.explode(F.array_distinct(F.array("src", "tgt"))).alias("node"))
-    cut = ends.join(gone, "node").where("n_seq > since_seq").groupBy("edge_id").agg(F.min("n_seq").alias("n_seq"))
+    gone = ops.where("op = 6").select("node", "seq")
+    ends = e.select("edge_id", F.col("since_seq").alias("seq"), F.explode(F.array_distinct(F.array("src", "tgt"))).alias("node"))
+    cut = next_after(ends, gone, "node", "seq", "n_seq").where("n_seq is not null").groupBy("edge_id").agg(F.min("n_seq").alias("n_seq"))
     return e.join(own, "edge_id", "left").join(cut, "edge_id", "left").select("edge_id", "src", "tgt", "since_seq", F.least("e_seq", "n_seq").alias("until_seq"))
 
 
+def next_after(events: DataFrame, marks: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """``events`` with the first ``order`` of ``marks`` (key, order) after theirs: one ordered pass a key, no pairs."""
+    others = [c for c in events.columns if c not in (key, order)]
+    m = marks.select(key, order, F.col(order).alias(name), F.lit(0).alias("_e"), *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in others])
+    e = events.select(key, order, F.lit(None).cast("long").alias(name), F.lit(1).alias("_e"), *others)
+    w = Window.partitionBy(key).orderBy(F.desc(order), F.desc("_e")).rowsBetween(Window.unboundedPreceding, 0)
+    return m.unionByName(e).withColumn(name, F.last(name, True).over(w)).where("_e = 1").drop("_e")
+
+
 def with_positions(live: DataFrame) -> DataFrame:
     """Positions of inputs of each target in connect order, closed up after deletions."""
     return live.withColumn("pos", (F.row_number().over(Window.partitionBy("tgt").orderBy("since_seq", "edge_id")) - 1).cast("int"))

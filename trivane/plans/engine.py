@@ -28,10 +28,10 @@ from ..operators import oplog, solve, topology
 from ..storage import scratch, written
 from .levels import STEP_LIMIT, StepLimitExceeded, levels
 
-#: Columns of a log; those that a log lacks are null. ``other`` is the source of an edge or label.
+#: Columns of a log; those that a log lacks are null. ``other`` is the source of an edge or label, ``nodes`` what to stabilize.
 FIELDS = {
     "seq": "long", "op": "int", "node": "long", "other": "long", "edge": "long", "rule": "string", "mode": "string", "port": "string", "val": "int",
-    "part": "long", "lattice": "long", "capability": "int", "scope": "long", "remote": "boolean",
+    "part": "long", "lattice": "long", "capability": "int", "scope": "long", "remote": "boolean", "nodes": "array<long>",
 }
 ROOM = 8
 #: Length of a stretch of the log, in ord.
@@ -131,12 +131,7 @@ def _lives_at(events: DataFrame, alive: DataFrame, node: str) -> DataFrame:
 
 
 def _next_after(events: DataFrame, marks: DataFrame, key: str, name: str) -> DataFrame:
-    """``events`` with the first ord of ``marks`` (key, ord) after theirs."""
-    others = [c for c in events.columns if c not in (key, "ord")]
-    m = marks.select(key, "ord", F.col("ord").alias(name), F.lit(0).alias("_e"), *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in others])
-    e = events.select(key, "ord", F.lit(None).cast("long").alias(name), F.lit(1).alias("_e"), *others)
-    w = Window.partitionBy(key).orderBy(F.desc("ord"), F.desc("_e")).rowsBetween(Window.unboundedPreceding, 0)
-    return m.unionByName(e).withColumn(name, F.last(name, True).over(w)).where("_e = 1").drop("_e")
+    return topology.next_after(events, marks, key, "ord", name)
 
 
 def topology_of(ops: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -390,7 +385,7 @@ def run(ops: DataFrame, authority: str = "Advisory", unbound: str = "Allow", lim
     base = written(_feed(ops, alive, modes, edges), "engine-feed")
     auth = _authority(ops, authority)
     roots = ops.where("op = 8").select("ord", "node")
-    asks = ops.where("op = 11").select("ord", "node")
+    asks = ops.where("op = 11").select("ord", F.explode_outer(F.coalesce("nodes", F.array("node"))).alias("node"))
     waits = not roots.isEmpty() or not asks.isEmpty() or not modes.where("mode = 'Stabilizing'").isEmpty()
     demands = written(roots.distinct(), "engine-demanded")
     sections = spark.createDataFrame([], "ord long, node long, outcome string, val int")

@@ -95,10 +95,13 @@ R("e16_active_deps", f"WITH {_EDGES}, p AS (SELECT node, seq FROM ops WHERE op =
 
 
 def _active(o):
-    """Edges into a node that are live at each demand: an interval join within the node."""
-    p, e = o.where("op = 8").select("node", "seq"), topology.edges(o)
-    j = p.join(e, (e.tgt == p.node) & (e.since_seq <= p.seq) & (e.until_seq.isNull() | (e.until_seq > p.seq)), "left")
-    return j.groupBy("node", "seq").agg(F.count("edge_id").alias("active"))
+    """Edges into a node that are live at each demand: a running count of those begun less those ended."""
+    e = topology.edges(o)
+    one = lambda d, seq, k: d.select(F.col("tgt").alias("node"), seq.alias("seq"), F.lit(k).alias("d"), F.lit(0).alias("p"))
+    u = one(e, F.col("since_seq"), 1).union(one(e.where("until_seq is not null"), F.col("until_seq"), -1))
+    u = u.union(o.where("op = 8").select("node", "seq", F.lit(0), F.lit(1)))
+    w = Window.partitionBy("node").orderBy("seq").rangeBetween(Window.unboundedPreceding, 0)
+    return u.withColumn("active", F.sum("d").over(w)).where("p = 1").select("node", "seq", "active")
 
 
 R("e17_step_count", TREE + " SELECT max(level) AS steps, max(level) > 100000 AS exceeded FROM log")(
@@ -128,15 +131,6 @@ def lazy_value(spark, sf_dir):
     return evaluated(spark, sf_dir).select("sub", "seq", F.coalesce(F.last(F.when(F.col("e") > -2, F.col("e")), True).over(w), F.lit(-1)).alias("out"))
 
 
-@R("f2_demand_set", f"""WITH RECURSIVE {_EDGES}, live AS (SELECT DISTINCT src, tgt FROM edges WHERE until_seq IS NULL), v AS (SELECT node, max_by(val, seq) AS val FROM ops WHERE op = 3 GROUP BY node),
-    r(node, depth) AS (SELECT (SELECT max(tgt) FROM live), 0 UNION SELECT src, depth + 1 FROM r JOIN live ON tgt = r.node LEFT JOIN v ON v.node = src WHERE coalesce(val, -1) = -1 AND depth < 4)
-    SELECT node, min(depth) AS depth FROM r GROUP BY node""")
-def demand_set(spark, sf_dir):
-    """Demanding the last node that has inputs pulls its pending inputs, theirs, and so on, four steps deep."""
-    pending, live = _pending(ops(spark, sf_dir))
-    return levels.closure(pending, live.agg(F.max("tgt").alias("node")), 4)
-
-
 def _pending(o):
     """Live edges from pending nodes, and all live edges."""
     live = topology.edges(o).where("until_seq IS NULL").select("src", "tgt").distinct()
@@ -149,10 +143,10 @@ _DEMANDED = "(SELECT DISTINCT node, 0 FROM ops WHERE op = 8)"
 _FAR = "depth < (SELECT count(DISTINCT src) FROM live)"
 
 
-@R("f2_demand_set_all", f"""WITH RECURSIVE {_EDGES}, live AS (SELECT DISTINCT src, tgt FROM edges WHERE until_seq IS NULL), v AS (SELECT node, max_by(val, seq) AS val FROM ops WHERE op = 3 GROUP BY node),
+@R("f2_demand_set", f"""WITH RECURSIVE {_EDGES}, live AS (SELECT DISTINCT src, tgt FROM edges WHERE until_seq IS NULL), v AS (SELECT node, max_by(val, seq) AS val FROM ops WHERE op = 3 GROUP BY node),
     r(node, depth) AS ({_DEMANDED} UNION SELECT src, depth + 1 FROM r JOIN live ON tgt = r.node LEFT JOIN v ON v.node = src WHERE coalesce(val, -1) = -1 AND {_FAR})
     SELECT node, min(depth) AS depth FROM r GROUP BY node""")
-def demand_set_all(spark, sf_dir):
+def demand_set(spark, sf_dir):
     """All demanded nodes pull their pending inputs, theirs, and so on, until none is left."""
     o = ops(spark, sf_dir)
     return levels.closure(_pending(o)[0], o.where("op = 8").select("node"))
@@ -182,18 +176,9 @@ def materialization(spark, sf_dir):
 
 
 @R("f4_frontier_depth", f"""WITH RECURSIVE {_EDGES}, live AS (SELECT DISTINCT src, tgt FROM edges WHERE until_seq IS NULL),
-    r(node, depth) AS (SELECT (SELECT max(tgt) FROM live), 0 UNION SELECT src, depth + 1 FROM r JOIN live ON tgt = r.node WHERE depth < 3), m AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)
-    SELECT depth, count(*) AS width FROM m GROUP BY depth""")
-def frontier_depth(spark, sf_dir):
-    """How wide the demanded closure is at each depth."""
-    live = topology.edges(ops(spark, sf_dir)).where("until_seq IS NULL").select("src", "tgt").distinct()
-    return levels.closure(live, live.agg(F.max("tgt").alias("node")), 3).groupBy("depth").agg(F.count(F.lit(1)).alias("width"))
-
-
-@R("f4_frontier_depth_all", f"""WITH RECURSIVE {_EDGES}, live AS (SELECT DISTINCT src, tgt FROM edges WHERE until_seq IS NULL),
     r(node, depth) AS ({_DEMANDED} UNION SELECT src, depth + 1 FROM r JOIN live ON tgt = r.node WHERE {_FAR}), m AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)
     SELECT depth, count(*) AS width FROM m GROUP BY depth""")
-def frontier_depth_all(spark, sf_dir):
+def frontier_depth(spark, sf_dir):
     """How wide the closure of all demanded nodes is at each depth, down to its end."""
     o = ops(spark, sf_dir)
     live = topology.edges(o).where("until_seq IS NULL").select("src", "tgt").distinct()

@@ -40,18 +40,26 @@ R("l3_skip_unknown", f"WITH {CHECKED} SELECT opcode, count(*) AS n, sum(length -
     lambda s, d: ss.header_errors(records(s, d)).where(F.col("error").isNull() & (ss.opcode_class(F.col("opcode")) == "Unknown")).groupBy("opcode").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("length") - 48).alias("skipped")))
 
 
+def _fields(x) -> dict:
+    """An operation's payload fields from a row of ``ops``."""
+    return {
+        1: {"node": x.node, "typ": f"t{x.k % 3}", "rule": x.k % 11, "attrs": {"w": (6, x.val), "n": (2, x.k)}}, 2: {"edge_id": x.seq, "src": x.other, "tgt": x.node, "dep_kind": 0, "port_kind": x.k % 4, "port_name": "p"},
+        3: {"node": x.node, "val": x.val}, 4: {"node": x.node}, 5: {"src": x.other, "node": x.node}, 6: {"node": x.node}, 7: {"edge_id": x.k}, 8: {"node": x.node}, 9: {"node": x.node, "mode": x.k % 3}, 10: {"node": x.node},
+        11: {"nodes": [x.node, x.other]}, 12: {"partition": x.k, "root": x.node, "lattice": x.k % 16, "domain": x.k % 8}, 13: {"node": x.node, "partition": x.k}, 14: {"partition": x.k, "lattice": x.k % 16, "domain": x.k % 8},
+        15: {"src": x.other, "node": x.node, "lattice": x.k, "capability": 1 + x.k % 7, "scope": x.k % 16}, 16: {"node": x.node, "strategy": 0, "domain": 0, "iterations": x.k, "convergence": 0}, 17: {"node": x.node, "priority": 0, "retry": 0},
+        18: {"root": x.node, "boundary": 0, "region": x.k, "stability": 0, "compile": 0},
+    }[x.op]
+
+
 def encoded(spark, sf_dir):
-    """Operations as binary records (set-value, connect, create and label operations)."""
+    """Operations of all 18 kinds as binary records."""
 
     def run(batches):
         for b in batches:
-            out = []
-            for x in b.itertuples(index=False):
-                f = {1: {"node": x.node, "typ": f"t{x.k % 3}", "rule": x.k % 11, "attrs": {"w": (6, x.val), "n": (2, x.k)}}, 2: {"edge_id": x.seq, "src": x.other, "tgt": x.node, "dep_kind": 0, "port_kind": x.k % 4, "port_name": "p"}, 3: {"node": x.node, "val": x.val}, 15: {"src": x.other, "node": x.node, "lattice": x.k, "capability": 1 + x.k % 7, "scope": x.k % 16}}[x.op]
-                out.append(codec.record(x.op, codec.encode(x.op, f), session=x.node, seq=x.seq))
+            out = [codec.record(x.op, codec.encode(x.op, _fields(x)), session=x.node, seq=x.seq) for x in b.itertuples(index=False)]
             yield pd.DataFrame({"seq": b["seq"], "record": out})
 
-    return ops(spark, sf_dir).where("op in (1, 2, 3, 15)").mapInPandas(run, "seq long, record binary")
+    return ops(spark, sf_dir).mapInPandas(run, "seq long, record binary")
 
 
 def decoded(batches):
@@ -60,14 +68,16 @@ def decoded(batches):
         for seq, data in zip(b["seq"], b["record"], strict=True):
             head = codec.HEADER.unpack_from(data)
             f = codec.decode(head[0], data[codec.HEADER.size :])
-            rows.append((seq, head[0], head[7], f.get("node", f.get("tgt")), f.get("src"), f.get("val"), f.get("rule"), f.get("lattice"), f.get("attrs", {}).get("w", (0, None))[1]))
-        yield pd.DataFrame(rows, columns=["seq", "op", "stream_seq", "node", "src", "val", "rule", "lattice", "attr"]).astype({c: "Int64" for c in ("src", "val", "rule", "lattice", "attr")})
+            node = f.get("node", f.get("tgt", f.get("root", f.get("nodes", [None])[0])))
+            rows.append((seq, head[0], head[7], node, f.get("src"), f.get("val"), f.get("rule"), f.get("lattice"), f.get("attrs", {}).get("w", (0, None))[1], f.get("partition"), f.get("mode")))
+        yield pd.DataFrame(rows, columns=["seq", "op", "stream_seq", "node", "src", "val", "rule", "lattice", "attr", "part", "mode"]).astype({c: "Int64" for c in ("node", "src", "val", "rule", "lattice", "attr", "part", "mode")})
 
 
-R("l4_payload_round_trip", f"""WITH {OPS} SELECT seq, op, seq AS stream_seq, node, CASE WHEN op IN (2, 15) THEN other END AS src, CASE WHEN op = 3 THEN val END AS val, CASE WHEN op = 1 THEN k % 11 END AS rule,
-    CASE WHEN op = 15 THEN k END::BIGINT AS lattice, CASE WHEN op = 1 THEN val END AS attr FROM ops WHERE op IN (1, 2, 3, 15)""")(
-    lambda s, d: encoded(s, d).mapInPandas(decoded, "seq long, op int, stream_seq long, node long, src long, val int, rule int, lattice long, attr int"))
-R("l6_record_bytes", f"WITH {OPS} SELECT op, sum(48 + CASE op WHEN 1 THEN 8 + 2 + 2 + 1 + 2 + (2 + 1 + 1 + 1) + (2 + 1 + 1 + 8) WHEN 2 THEN 24 + 2 + 2 + 1 WHEN 3 THEN 9 ELSE 33 END)::BIGINT AS bytes, count(*) AS n FROM ops WHERE op IN (1, 2, 3, 15) GROUP BY op")(
+R("l4_payload_round_trip", f"""WITH {OPS} SELECT seq, op, seq AS stream_seq, CASE WHEN op NOT IN (7, 14) THEN node END AS node, CASE WHEN op IN (2, 5, 15) THEN other END AS src, CASE WHEN op = 3 THEN val END AS val, CASE WHEN op = 1 THEN k % 11 END AS rule,
+    CASE WHEN op = 15 THEN k WHEN op IN (12, 14) THEN k % 16 END::BIGINT AS lattice, CASE WHEN op = 1 THEN val END AS attr, CASE WHEN op IN (12, 13, 14) THEN k END::BIGINT AS part, CASE WHEN op = 9 THEN k % 3 END AS mode FROM ops""")(
+    lambda s, d: encoded(s, d).mapInPandas(decoded, "seq long, op int, stream_seq long, node long, src long, val int, rule int, lattice long, attr int, part long, mode int"))
+_SIZES = "CASE op WHEN 1 THEN 8 + 2 + 2 + 1 + 2 + (2 + 1 + 1 + 1) + (2 + 1 + 1 + 8) WHEN 2 THEN 24 + 2 + 2 + 1 WHEN 3 THEN 9 WHEN 5 THEN 16 WHEN 9 THEN 9 WHEN 11 THEN 4 + 16 WHEN 12 THEN 32 WHEN 13 THEN 16 WHEN 14 THEN 24 WHEN 15 THEN 33 WHEN 16 THEN 15 WHEN 17 THEN 10 WHEN 18 THEN 15 ELSE 8 END"
+R("l6_record_bytes", f"WITH {OPS} SELECT op, sum(48 + {_SIZES})::BIGINT AS bytes, count(*) AS n FROM ops GROUP BY op")(
     lambda s, d: encoded(s, d).join(ops(s, d).select("seq", "op"), "seq").groupBy("op").agg(F.sum(F.octet_length("record")).alias("bytes"), F.count(F.lit(1)).alias("n")))
 R("l7_wire_mappings", f"WITH {OPS} SELECT seq, CASE val WHEN -1 THEN 255 ELSE val END AS wire_byte FROM ops WHERE op = 3")(
     lambda s, d: ops(s, d).where("op = 3").select("seq", F.when(F.col("val") == -1, 255).otherwise(F.col("val")).alias("wire_byte")))
@@ -127,12 +137,13 @@ R("m8_coalescing", f"WITH {ROUTED} SELECT session_id, partition_id, max(pos) AS
     lambda s, d: routed(s, d).where("decision = 'Coalesce'").groupBy("session_id", "partition_id").agg(F.max("pos").alias("pos"), F.max_by("val", "pos").alias("val")))
 
 
-@R("m9_profile_advisory", f"""WITH {OPS} SELECT seq, CASE WHEN k % 3 <> 0 THEN 'WrongTrustLevel' WHEN other <> node AND k % 2 = 0 THEN 'SessionMismatch' WHEN k % 5 <> 0 AND seq // 100 > k THEN 'Expired' WHEN k % 7 < 2 THEN 'GenerationRevoked' ELSE 'Ok' END AS verdict FROM ops""")
+@R("m9_profile_advisory", f"""WITH {OPS} SELECT seq, CASE WHEN k % 3 <> 0 THEN 'WrongTrustLevel' WHEN other <> node AND k % 2 = 0 THEN 'SessionMismatch' WHEN k % 5 <> 0 AND seq // 100 > k THEN 'Expired' WHEN k % 7 < 2 THEN 'GenerationRevoked' ELSE 'Ok' END AS verdict, CASE WHEN verdict = 'Ok' THEN k & node END::BIGINT AS policy FROM ops""")
 def profile_advisory(spark, sf_dir):
-    """Trust level, session, expiry (never, where k divides by five), generation; first failure counts."""
+    """Trust level, session, expiry (never, where k divides by five), generation; first failure counts. What is
+    claimed (k) is clipped to what the parent has (the node's number)."""
     k = F.col("k")
     v = F.when(k % 3 != 0, "WrongTrustLevel").when((F.col("other") != F.col("node")) & (k % 2 == 0), "SessionMismatch").when((k % 5 != 0) & (F.expr("seq div 100") > k), "Expired").when(k % 7 < 2, "GenerationRevoked").otherwise("Ok")
-    return ops(spark, sf_dir).select("seq", v.alias("verdict"))
+    return ops(spark, sf_dir).select("seq", v.alias("verdict"), F.when(v == "Ok", k.cast("long").bitwiseAND(F.col("node"))).alias("policy"))
 
 
 R("m11_seq_floor", f"WITH {RECORDS}, f AS (SELECT *, coalesce(max(CASE WHEN k % 9 = 0 THEN stream_seq + 1 END) {_PRE}, 0) AS floor FROM rec) SELECT pos, stream_seq >= floor AS valid FROM f")(lambda s, d: _floor(records(s, d)))
@@ -154,12 +165,15 @@ def _paths(r):
     return p.select("path", "session_id", F.when(F.col("next").isNull(), "Active").when(F.col("after").isNull(), "Draining").otherwise("Closed").alias("state"))
 
 
-ACTIVITY = f"{ROUTED}, act AS (SELECT session_id, max(causal_epoch) FILTER (WHERE outcome = 'Admitted') AS last_active, count(*) FILTER (WHERE outcome <> 'Admitted') AS idle FROM rt GROUP BY session_id)"
+ACTIVITY = f"""{ROUTED}, lastly AS (SELECT session_id, max(causal_epoch) FILTER (WHERE outcome = 'Admitted') AS last_active, max(pos) FILTER (WHERE outcome = 'Admitted') AS at FROM rt GROUP BY session_id),
+    act AS (SELECT rt.session_id, any_value(last_active) AS last_active, count(*) FILTER (WHERE at IS NULL OR pos > at) AS idle FROM rt JOIN lastly USING (session_id) GROUP BY rt.session_id)"""
 
 
 def activity(spark, sf_dir):
-    r = routed(spark, sf_dir)
-    return r.groupBy("session_id").agg(F.max(F.when(F.col("outcome") == "Admitted", F.col("causal_epoch"))).alias("last_active"), F.count_if(F.col("outcome") != "Admitted").alias("idle"))
+    """Each session's last epoch with an admitted record, and its records since: any admitted one starts the count anew."""
+    r = routed(spark, sf_dir).select("session_id", "pos", "causal_epoch", (F.col("outcome") == "Admitted").alias("admitted"))
+    last = r.groupBy("session_id").agg(F.max(F.when(F.col("admitted"), F.col("causal_epoch"))).alias("last_active"), F.max(F.when(F.col("admitted"), F.col("pos"))).alias("at"))
+    return r.join(last, "session_id").groupBy("session_id").agg(F.first("last_active").alias("last_active"), F.count_if(F.col("at").isNull() | (F.col("pos") > F.col("at"))).alias("idle"))
 
 
 R("m13_activity", f"WITH {ACTIVITY} SELECT session_id, last_active, idle FROM act")(activity)
@@ -185,10 +199,7 @@ def fabric(spark, sf_dir):
     return s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("s_suppkey").alias("shard_id"), F.col("n_regionkey").alias("region"), F.col("s_nationkey").alias("pod"), (F.col("s_suppkey") % 4).alias("rack"), (F.col("s_suppkey") % 3).alias("leaf"), "s_acctbal")
 
 
-# m17 and m20 answer the requesters up to 10 that their SQL asks for; m17_.._all and m20_.._all answer every shard.
-R("m17_fabric_metrics", f"WITH {FABRIC} SELECT a.shard_id AS a, max({_HOP}) FILTER (WHERE a.shard_id <> b.shard_id)::INT AS radius, count(*) FILTER (WHERE {_HOP} = 16) AS remote FROM fab a, fab b WHERE a.shard_id <= 10 GROUP BY 1")(
-    lambda s, d: ss.fabric_metrics(fabric(s, d)).where("a <= 10"))
-R("m17_fabric_metrics_all", f"WITH {FABRIC} SELECT a.shard_id AS a, max({_HOP}) FILTER (WHERE a.shard_id <> b.shard_id)::INT AS radius, count(*) FILTER (WHERE {_HOP} = 16) AS remote FROM fab a, fab b GROUP BY 1")(
+R("m17_fabric_metrics", f"WITH {FABRIC} SELECT a.shard_id AS a, max({_HOP}) FILTER (WHERE a.shard_id <> b.shard_id)::INT AS radius, count(*) FILTER (WHERE {_HOP} = 16) AS remote FROM fab a, fab b GROUP BY 1")(
     lambda s, d: ss.fabric_metrics(fabric(s, d)))
 R("m16_shard_pick", f"WITH {FABRIC} SELECT coalesce((SELECT min(shard_id) FROM fab WHERE s_acctbal > 9000 AND region = 1), (SELECT min(shard_id) FROM fab WHERE s_acctbal > 5000), 0) AS shard_id")(
     lambda s, d: fabric(s, d).agg(F.coalesce(F.min(F.when((F.col("s_acctbal") > 9000) & (F.col("region") == 1), F.col("shard_id"))), F.min(F.when(F.col("s_acctbal") > 5000, F.col("shard_id"))), F.lit(0)).alias("shard_id")))
@@ -197,9 +208,7 @@ R("m18_health", f"WITH {OPS} SELECT seq, CASE WHEN k % 50 = 0 THEN -1 WHEN k * 5
 _H = "CASE WHEN k % 50 = 0 THEN -1 WHEN k * 5 >= 500 THEN 0 ELSE 1 END"
 R("m19_topology_transitions", f"WITH {OPS}, h AS (SELECT seq, node AS shard, {_H} AS health, coalesce(lag({_H}) OVER (PARTITION BY node ORDER BY seq), -1) AS old FROM ops) SELECT shard, seq, old, health FROM h WHERE old <> health")(
     lambda s, d: ss.transitions(ops(s, d).select("seq", F.col("node").alias("shard"), ss.health(F.col("k") * 5, F.when(F.col("k") % 50 == 0, 1).otherwise(0)).alias("health")), "shard", "health").select("shard", "seq", "old", "health"))
-R("m20_best_shard", f"WITH {FABRIC}, x AS (SELECT a.shard_id AS a, b.shard_id AS best, row_number() OVER (PARTITION BY a.shard_id ORDER BY {_HOP}, b.shard_id) AS r FROM fab a, fab b WHERE a.shard_id <= 10 AND b.s_acctbal > 0) SELECT a, best FROM x WHERE r = 1")(
-    lambda s, d: ss.best_shards(fabric(s, d), F.col("s_acctbal") > 0).where("a <= 10"))
-R("m20_best_shard_all", f"WITH {FABRIC}, x AS (SELECT a.shard_id AS a, b.shard_id AS best, row_number() OVER (PARTITION BY a.shard_id ORDER BY {_HOP}, b.shard_id) AS r FROM fab a, fab b WHERE b.s_acctbal > 0) SELECT a, best FROM x WHERE r = 1")(
+R("m20_best_shard", f"WITH {FABRIC}, x AS (SELECT a.shard_id AS a, b.shard_id AS best, row_number() OVER (PARTITION BY a.shard_id ORDER BY {_HOP}, b.shard_id) AS r FROM fab a, fab b WHERE b.s_acctbal > 0) SELECT a, best FROM x WHERE r = 1")(
     lambda s, d: ss.best_shards(fabric(s, d), F.col("s_acctbal") > 0))
 R("m21_quiescence_streak", f"WITH {OPS}, g AS (SELECT *, count(*) FILTER (WHERE op IN (3, 4)) OVER (PARTITION BY node ORDER BY seq) AS grp FROM ops) SELECT node, seq, count(*) FILTER (WHERE op IN (10, 11)) OVER (PARTITION BY node, grp ORDER BY seq) AS streak FROM g")(
     lambda s, d: ss.streak(ops(s, d), "node", F.col("op").isin(10, 11), F.col("op").isin(3, 4)).select("node", "seq", "streak"))
@@ -281,7 +290,7 @@ def _attrs(u):
 
 
 def _profile(u):
-    f = {"profile_id": u, "version": 1 + u % 2, "trust": 0, "assertion": u, "delegation": u + 1, "observability": u + 2, "disclosure": u + 3, "issuer": u % 25, "session": u, "generation": 1, "expiry": 9, "signature": b""}
+    f = {"profile_id": u, "version": 1 + u % 2, "trust": 1 + u % 3, "assertion": u, "delegation": u + 1, "observability": u + 2, "disclosure": u + 3, "issuer": u % 25, "session": u, "generation": 1, "expiry": 9, "signature": b""}
     p = codec.profile_decode(codec.profile_encode(f))
     return p["assertion"], p["disclosure"], p["issuer"]
 
@@ -319,8 +328,10 @@ def _le(c):
 
 
 _LE = "(SELECT string_agg(h[15 - 2 * i:16 - 2 * i], '' ORDER BY i) FROM (SELECT lpad(printf('%x', {0}), 16, '0') AS h), range(0, 8) r(i))"
-R("m10_signing_payload", f"SELECT user_id, {_LE.format('user_id * 1000003')} || {_LE.format('user_id')} AS payload FROM ({_U})")(
-    lambda s, d: table(s, d, "events").select("user_id").distinct().select("user_id", F.concat(_le(F.col("user_id") * 1000003), _le(F.col("user_id"))).alias("payload")))
+#: A profile's fields in the order that is signed: four masks, issuer, session, generation, expiry.
+SIGNED = ("user_id * 1000003", "user_id + 1", "user_id + 2", "user_id + 3", "user_id % 25", "user_id", "1", "user_id * 7")
+R("m10_signing_payload", f"SELECT user_id, {' || '.join(_LE.format(x) for x in SIGNED)} AS payload FROM ({_U})")(
+    lambda s, d: table(s, d, "events").select("user_id").distinct().select("user_id", F.concat(*[_le(F.expr(x).cast("long")) for x in SIGNED]).alias("payload")))
 R("q3_counter_reads", f"WITH {OPS}, l AS (SELECT node % 10 AS grp, node, max_by(val, seq) AS val FROM ops WHERE op = 3 GROUP BY node) SELECT grp, count(*) FILTER (WHERE val = -1) AS neg, count(*) FILTER (WHERE val = 0) AS zero, count(*) FILTER (WHERE val = 1) AS pos FROM l GROUP BY grp")(
     lambda s, d: ops(s, d).where("op = 3").groupBy("node").agg(F.max_by("val", "seq").alias("val")).groupBy((F.col("node") % 10).alias("grp")).agg(*[F.count_if(F.col("val") == k).alias(n) for k, n in ((-1, "neg"), (0, "zero"), (1, "pos"))]))
 R("q1_attr_reads", f"WITH {OPS} SELECT node, max_by(val, seq) FILTER (WHERE k % 3 = 0) AS k0, max_by(val, seq) FILTER (WHERE k % 3 = 1) AS k1 FROM ops WHERE op = 3 GROUP BY node")(
@@ -343,7 +354,7 @@ R("q19_trust_levels", f"WITH {OPS} SELECT seq, (['Advisory', 'Asserted', 'Attest
 @R("p1_builder", "SELECT * FROM (VALUES ('ready', 1), ('quorum', 1), ('alarm', -1), ('lazy', 0)) v(name, val)")
 def builder(spark, sf_dir):
     """The Python builder: inputs, computed nodes, writes, a demand."""
-    from ..graph import FLAGS, Graph
+    from ..graph import Graph
 
     g = Graph(spark)
     ins = [g.input(f"i{k}") for k in range(3)]
@@ -359,10 +370,9 @@ def builder(spark, sf_dir):
     for i in ins[:2]:
         g.set(i, True)
     g.set(late, False)
-    values = g.changes().groupBy("node").agg(F.max_by("val", "seq").alias("val"))
-    names = spark.createDataFrame([(h.id, n) for n, h in made.items() if n != "lazy"], "node long, name string")
-    eager = names.join(values, "node", "left").select("name", F.coalesce("val", F.lit(-1)).alias("val"))
-    return eager.union(spark.createDataFrame([("lazy", FLAGS[g.demand(made["lazy"])])], "name string, val int"))
+    g.demand(made["lazy"])
+    names = spark.createDataFrame([(h.id, n) for n, h in made.items()], "node long, name string")
+    return names.join(g.result().values, "node").select("name", "val")
 
 
 R("p6_counts", f"WITH {OPS} SELECT count(DISTINCT node) FILTER (WHERE op = 1) AS nodes, count(*) FILTER (WHERE op = 2) - count(*) FILTER (WHERE op = 7) AS edges FROM ops")(

@@ -74,9 +74,7 @@ def network(spark, sf_dir):
     return o.where("op = 3").groupBy("node").agg(F.max_by("val", "seq").alias("val")), topology.edges(o).where("until_seq IS NULL").select("src", "tgt").distinct(), o.where("op = 11 and k % 2 = 0").select("node").distinct()
 
 
-R("h5_section", f"""WITH RECURSIVE {_EDGES}, {_VALS}, r(node, depth) AS (SELECT node, 0 FROM seeds UNION SELECT src, depth + 1 FROM r JOIN v USING (node) JOIN live ON tgt = r.node WHERE val = 0 AND depth < 5)
-    SELECT DISTINCT r.node, r.node IN (SELECT node FROM seeds) OR coalesce(val = 0, false) AS member FROM r LEFT JOIN v USING (node)""")(lambda s, d: solve.section(*network(s, d), 5))
-R("h5_section_all", f"""WITH RECURSIVE {_EDGES}, {_VALS}, r(node) AS (SELECT node FROM seeds UNION SELECT src FROM r JOIN v USING (node) JOIN live ON tgt = r.node WHERE val = 0)
+R("h5_section", f"""WITH RECURSIVE {_EDGES}, {_VALS}, r(node) AS (SELECT node FROM seeds UNION SELECT src FROM r JOIN v USING (node) JOIN live ON tgt = r.node WHERE val = 0)
     SELECT r.node, r.node IN (SELECT node FROM seeds) OR coalesce(val = 0, false) AS member FROM r LEFT JOIN v USING (node)""")(lambda s, d: solve.section(*network(s, d)))
 _REV = "CASE WHEN val > old AND lag(val - old) OVER w < 0 OR val < old AND lag(val - old) OVER w > 0 THEN 1 ELSE 0 END"
 R("h10_oscillation", f"WITH {EFFECTIVE}, x AS (SELECT sub, src, seq, {_REV} AS rev FROM eff WINDOW w AS (PARTITION BY sub, src ORDER BY seq)) SELECT sub, src, sum(rev)::BIGINT AS reversals, sum(rev) >= 3 AS oscillates FROM x GROUP BY sub, src")(lambda s, d: _oscillation(eff(s, d)))

@@ -10,9 +10,11 @@ import math
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.ternary import RULES
+
 #: Fixed values of the format.
 MAGIC, VERSION = b"PGRS", 3
 PREAMBLE, HEADER = struct.Struct("<4sHHQQQ"), struct.Struct("<HHIQQQQQ")
@@ -24,8 +26,10 @@ FIELDS = {
     17: "node:Q priority:B retry:B", 18: "root:Q boundary:B region:region stability:B compile:B",
 }
 REMOTE = "source_partition:Q source_uid:Q source_version:Q payload_kind:B zero_kind:zk frontier:clock authority:Q emitted:Q capability:B scope:Q"
-#: Largest valid byte of fields that are enumerations, with the error for others.
+#: The largest valid byte of fields that are enumerations, with the error for others.
 LIMITS = {"rule": (10, "UnknownNodeRule"), "mode": (2, "UnknownExecMode"), "port_kind": (3, "UnknownPortKind"), "dep_kind": (1, "UnknownDepKind"), "payload_kind": (1, "UnknownPayloadKind"), "stability": (1, "UnknownStabilityContract"), "compile": (2, "UnknownCompilePolicy"), "boundary": (2, "UnknownRegionBoundaryTag")}
+#: Trust levels of profiles by their byte.
+TRUST = {1: "Advisory", 2: "Asserted", 3: "Attested"}
 NAN = struct.pack("<Q", 0x7FF8000000000000)
 
 
@@ -169,36 +173,54 @@ def read_preamble(data: bytes) -> dict:
 
 
 def frames(data: bytes) -> Iterator[tuple]:
-    """(opcode, flags, length, tenant, session, partition, epoch, seq, payload) of a stream's records; any opcode is stepped over by its length."""
+    """(opcode, flags, length, tenant, session, partition, epoch, seq, payload, error) of a stream's records.
+
+    Any opcode is stepped over by its length. A length below the header's, and bytes that end within a header or
+    a payload, are a last record with an error: what follows cannot be framed.
+    """
     at = PREAMBLE.size
-    while at + HEADER.size <= len(data):
+    while at < len(data):
+        if at + HEADER.size > len(data):
+            yield *[None] * 8, data[at:], f"HeaderTruncated({len(data) - at})"
+            return
         head = HEADER.unpack_from(data, at)
-        length = max(HEADER.size, head[2])
-        yield *head, data[at + HEADER.size : at + length]
+        length, left = head[2], len(data) - at
+        error = f"InvalidLength({length})" if length < HEADER.size else f"RecordTruncated({length}, {left})" if length > left else None
+        yield *head, data[at + HEADER.size : at + max(length, HEADER.size)], error
+        if error:
+            return
         at += length
 
 
-RECORDS = "path long, stream_session long, pos int, opcode int, flags int, length long, tenant_id long, session_id long, partition_id long, causal_epoch long, stream_seq long, payload binary"
+RECORDS = "path long, stream_session long, pos int, opcode int, flags int, length long, tenant_id long, session_id long, partition_id long, causal_epoch long, stream_seq long, payload binary, error string"
+
+
+def signed(x: int | None) -> int | None:
+    """An unsigned 64-bit number as the long of the same bits: the format's numbers from 2^63 on are negative in tables."""
+    return x if x is None or x < 1 << 63 else x - (1 << 64)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the binary logs below ``path``, a row each; files are independent streams."""
+    """Records of the binary logs below ``path``, a row each; files are independent streams. Damage is a row with an error."""
+    schema = pa.schema([(c, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}[k]) for c, k in (x.split() for x in RECORDS.split(", "))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = [c.split()[0] for c in RECORDS.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b["content"]:
+            for data in b.column(0):
+                data = data.as_py()
                 p = read_preamble(data)
-                yield pd.DataFrame([(p["path"], p["session"], i, *f) for i, f in enumerate(frames(data))], columns=cols)
+                rows = [(signed(p["path"]), signed(p["session"]), i, *[signed(x) if isinstance(x, int) else x for x in f]) for i, f in enumerate(frames(data))]
+                for k in range(0, len(rows), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 10_000], strict=True), schema.types, strict=True)], schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, RECORDS)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORDS)
 
 
 def profile_decode(data: bytes) -> dict:
     """A session profile: version 1 has one mask for all four axes, version 2 has four."""
     r = Reader(data)
     f = {"profile_id": r.number("I"), "version": r.number("H"), "trust": r.number("B")}
-    if f["trust"] > 2:
+    if f["trust"] not in TRUST:
         raise CodecError(f"UnknownTrustLevel({f['trust']})")
     if f["version"] not in (1, 2):
         raise CodecError(f"UnknownProfileVersion({f['version']})")
@@ -211,3 +233,61 @@ def profile_decode(data: bytes) -> dict:
 def profile_encode(f: dict) -> bytes:
     masks = [f["assertion"]] if f["version"] == 1 else [f[k] for k in ("assertion", "delegation", "observability", "disclosure")]
     return struct.pack("<IHB", f["profile_id"], f["version"], f["trust"]) + struct.pack(f"<{len(masks) + 4}QH", *masks, *(f[k] for k in ("issuer", "session", "generation", "expiry")), len(f["signature"])) + f["signature"]
+
+
+#: Modes, rules and kinds of ports by their byte in payloads.
+MODES, PORTS = ("Eager", "Lazy", "Stabilizing"), ("signal", "effort", "flow", "bond")
+RULE_OF = {0: "Input", **{code: name for name, code in RULES.items()}}
+OPERATIONS = "error string, op int, node long, other long, edge long, rule string, mode string, port string, val int, part long, lattice long, capability int, scope long, remote boolean, nodes array<long>"
+
+
+def operation(op: int, payload: bytes) -> dict:
+    """A payload's fields as the columns of the op-log engine."""
+    f = decode(op, payload)
+    long = lambda k: signed(f.get(k))
+    out = {"op": op, "node": long("node"), "val": f.get("val"), "part": long("partition"), "lattice": long("lattice"), "capability": f.get("capability"), "scope": long("scope")}
+    if op == 1:
+        out["rule"] = RULE_OF[f["rule"]]
+    elif op == 2:
+        far = f["dep_kind"] == 1
+        out |= {"node": long("tgt"), "other": long("src"), "edge": long("edge_id"), "port": PORTS[f["port_kind"]], "remote": far, "lattice": long("emitted") if far else None}
+    elif op == 5:
+        out["other"] = long("src")
+    elif op == 7:
+        out["edge"] = long("edge_id")
+    elif op == 9:
+        out["mode"] = MODES[f["mode"]]
+    elif op == 11:
+        out["nodes"] = [signed(x) for x in f["nodes"]] or None
+    elif op in (12, 14):
+        out["scope"] = long("domain")
+    elif op == 15:
+        out["other"] = long("src")
+    elif op == 18:
+        out["node"] = long("root")
+    return out
+
+
+def operations(records: DataFrame) -> DataFrame:
+    """``records`` (opcode, payload, ...) and their operations (``OPERATIONS``); a payload that is none has an error."""
+    schema = records.schema
+    names = [c.split()[0] for c in OPERATIONS.split(", ")]
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+    kinds = [types[c.split()[1]] for c in OPERATIONS.split(", ")]
+    keep = [c for c in schema.names if c not in ("payload", "error")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for op, payload in zip(b.column("opcode").to_pylist(), b.column("payload").to_pylist(), strict=True):
+                try:
+                    row = operation(op, payload or b"")
+                except CodecError as e:
+                    row = {"op": op, "error": str(e)}
+                rows.append([row.get(n) for n in names])
+            cols = list(zip(*rows, strict=True)) or [[]] * (len(names))
+            made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *made], names=[*keep, *names])
+
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields if f.name in keep), *(c for c in OPERATIONS.split(", "))])
+    return records.mapInArrow(run, fields)
