@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, bound_batches, lean, written
 from .jaccard import _batch
-from .textops import ALNUM, U, chunks, word_hashes, word_spans
+from .textops import ALNUM, U, chunks, mix, word_hashes, word_spans
 
 SAMPLE = 12_000
 SLOTS = 1 << 22
@@ -118,6 +118,29 @@ def chi_squared(df, hit, n: int, pos: int):
     return n * (a * d - b * c) ** 2 / np.maximum(df * (n - df) * float(pos) * (n - pos), 1e-9)
 
 
+def one_of_copies(sets: list[np.ndarray]) -> np.ndarray:
+    """Of documents that share much of their terms the first: such as agree in two of eight minimum hashes side by side."""
+    some = np.array([k for k, s in enumerate(sets) if len(s)], np.int64)
+    if not len(some):
+        return some
+    flat, starts = np.concatenate([sets[k] for k in some]).astype(U), np.cumsum([0, *[len(sets[k]) for k in some[:-1]]])
+    least = [np.minimum.reduceat(mix(flat + U((j + 1) << 32)), starts) for j in range(8)]
+    root = np.arange(len(some))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for j in range(0, 8, 2):
+        met: dict[tuple[int, int], int] = {}
+        for k, band in enumerate(zip(least[j].tolist(), least[j + 1].tolist(), strict=True)):
+            a, b = find(met.setdefault(band, k)), find(k)
+            root[max(a, b)] = min(a, b)
+    return some[[k for k in range(len(some)) if find(k) == k]]
+
+
 def pair_gains(sets: list[np.ndarray], y: np.ndarray, terms: np.ndarray, df: np.ndarray, hit: np.ndarray, own: np.ndarray) -> np.ndarray:
     """For each of ``terms`` the most by which a pair's chi-squared exceeds both terms' own, 0 below ``LEAST_GAIN``.
 
@@ -152,21 +175,32 @@ def pair_gains(sets: list[np.ndarray], y: np.ndarray, terms: np.ndarray, df: np.
     return out
 
 
+def _counts(sets: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents with each slot, and those with the label."""
+    df, hit = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+    for s, k in zip(sets, y, strict=True):  # a set holds a slot once
+        df[s] += 1
+        if k:
+            hit[s] += 1
+    return df.astype(float), hit.astype(float)
+
+
 def fit(sets: list[np.ndarray], y: np.ndarray) -> FactorizationMachine:
     """Screen terms and fit by Adam on the logistic loss; deterministic."""
     n, pos = len(y), int(y.sum())
     none = FactorizationMachine(np.zeros(0, np.int64), float(np.log((pos + 0.5) / (n - pos + 0.5))), np.zeros(0), np.zeros((0, FACTORS)))
     if not pos or pos == n:
         return none
-    df, hit = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
-    for s, k in zip(sets, y, strict=True):  # a set holds a slot once
-        df[s] += 1
-        if k:
-            hit[s] += 1
+    df, hit = _counts(sets, y)
     terms = np.flatnonzero(df >= LEAST_DOCS)
-    df, hit = df[terms].astype(float), hit[terms].astype(float)
+    df, hit = df[terms], hit[terms]
     chi2 = chi_squared(df, hit, n, pos)
-    gain = pair_gains(sets, y, terms, df, hit, chi2)
+    # A copied document would make pairs of all its terms: of copies one counts here.
+    once = one_of_copies(sets)
+    few = [sets[k] for k in once]
+    df_1, hit_1 = _counts(few, y[once])
+    n_1, pos_1 = len(once), int(y[once].sum())
+    gain = pair_gains(few, y[once], terms, df_1[terms], hit_1[terms], chi_squared(df_1[terms], hit_1[terms], n_1, pos_1)) if 0 < pos_1 < n_1 else np.zeros(len(terms))
     good = np.flatnonzero((chi2 >= LEAST_CHI2) | (gain > 0))
     most = np.maximum(chi2, gain)
     good = np.sort(good[np.lexsort((good, -most[good]))][:MOST_TERMS])
@@ -197,7 +231,7 @@ def fit(sets: list[np.ndarray], y: np.ndarray) -> FactorizationMachine:
         for k, g in enumerate((grad, np.array([bias]))):
             m[k] = 0.9 * m[k] + 0.1 * g
             q[k] = 0.99 * q[k] + 0.01 * g**2
-            steps.append(RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(q[k] / (1 - 0.99**step)) + 1e-8))
+            steps.append(RATE * (1 - (step - 1) / STEPS) * (m[k] / (1 - 0.9**step)) / (np.sqrt(q[k] / (1 - 0.99**step)) + 1e-8))
         model.v, model.w, model.w0 = model.v - steps[0][:, :FACTORS], model.w - steps[0][:, FACTORS], model.w0 - float(steps[1][0])
     return model
 
