@@ -15,8 +15,8 @@ into short ones, which are merged, and up to T - 1 long ones, which are only pro
     together there. So neither copies nor a shingle of many documents make a large task.
 3.  Lists of up to ``LIST`` nodes are merged into candidate pairs under size and position filters. Nodes
     of longer lists form clusters, which are searched block by block inside tasks, again by T-occurrence
-    search, and give only a spanning forest of links. First every block meets itself and its class's first
-    block; nodes that are in one component by then need not meet again, so a group of near copies, however
+    search, and give only a spanning forest of links. First every block meets itself and some anchors of its
+    class; nodes that are in one component by then need not meet again, so a group of near copies, however
     large, costs work in proportion to it, and no group is expanded into all pairs.
 4.  T-occurrences of a candidate pair are counted on its short lists: it stays if they leave T in reach
     (at least T - L of them, DivideSkip's merge threshold); what is left is verified on whole sets by
@@ -102,7 +102,8 @@ def _nodes_and_counts(docs: DataFrame, shingle: int, width: int) -> DataFrame:
                 np.add.at(counts, (s & U(width - 1)).astype(np.int64), np.uint32(1))
             none = pa.nulls(b.num_rows, pa.int32())
             yield _batch(schema, b.column(b.schema.get_field_index("doc_id")), ns, fps, more, none, pa.nulls(b.num_rows, pa.binary()))
-        parts = counts.reshape(SLICES, -1)
+        # A task's counts travel as bytes: what exceeds them is frequent enough to come last.
+        parts = np.minimum(counts, 255).astype(np.uint8).reshape(SLICES, -1)
         keep = [k for k in range(SLICES) if parts[k].any()]
         if keep:
             n = pa.nulls(len(keep), pa.int64())
@@ -111,23 +112,27 @@ def _nodes_and_counts(docs: DataFrame, shingle: int, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, fp long, fp2 long, slice int, counts binary")
 
 
-def _add(batches):
-    """Sum sketch slices as they stream by; memory is that of one sketch."""
+def _add(kind):
+    """Sum sketch slices of counters of ``kind`` as they stream by; memory is that of one sketch."""
     schema = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for k, c in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            x = np.frombuffer(zlib.decompress(c.as_buffer()), np.uint32)
-            total[k] = np.minimum(total[k], np.uint32(1 << 31)) + np.minimum(x, np.uint32(1 << 31) - np.uint32(1)) if k in total else x
-    if total:
-        yield _batch(schema, list(total), [zlib.compress(v.tobytes(), 1) for v in total.values()])
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, c in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                x = np.frombuffer(zlib.decompress(c.as_buffer()), kind).astype(np.uint32)
+                total[k] = np.minimum(total[k], np.uint32(1 << 31)) + np.minimum(x, np.uint32((1 << 31) - 1)) if k in total else x
+        if total:
+            yield _batch(schema, list(total), [zlib.compress(v.tobytes(), 1) for v in total.values()])
+
+    return run
 
 
 def _levels(rows: DataFrame, width: int) -> np.ndarray:
     """Logarithmic counts, one byte a counter: at most ``MOST_WIDTH`` whatever the corpus."""
     p = partitions(rows.sparkSession)
-    rows = rows.select("slice", "counts").repartition(p).mapInArrow(lean(_add), "slice int, counts binary")
-    rows = rows.repartition(p, "slice").mapInArrow(lean(_add), "slice int, counts binary")
+    rows = rows.select("slice", "counts").withColumn("salt", F.floor(F.spark_partition_id() / 64)).repartition(p, "slice", "salt").drop("salt")
+    rows = rows.mapInArrow(lean(_add(np.uint8)), "slice int, counts binary").repartition(p, "slice").mapInArrow(lean(_add(np.uint32)), "slice int, counts binary")
     out = np.zeros((SLICES, width // SLICES), np.uint8)
     for r in rows.toLocalIterator():  # at most SLICES rows
         x = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
@@ -411,7 +416,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, percent: int, lev
             if rows:
                 yield _batch(schema, *zip(*rows, strict=True))
 
-    ids = wanted.select(F.col("doc_id").alias("_wanted")).distinct()
+    ids = written(wanted.select(F.col("doc_id").alias("_wanted")).distinct(), "jaccard-ids")  # of known size: broadcast if small
     some = docs.select("doc_id", "text").join(ids, docs.doc_id.eqNullSafe(F.col("_wanted")), "left_semi")
     found = written(some.mapInArrow(lean(run), "id long, f long, n long, q binary, s binary"), "jaccard-sets")
     # Nodes met in several documents (repeated rows, rows that share a doc_id) keep one.
@@ -426,9 +431,10 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, percent: int, lev
 def _block_links(hot: DataFrame, wanted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links within clusters of long-list members, block against block.
 
-    Blocks are split by size class, whose neighbours alone can link, and by hash within a class, so a
-    cluster of any size becomes bounded groups. Two rounds: every block meets itself and the first
-    block of its class; then, of each cluster, what is not in its largest component meets everything.
+    A cluster of at most two blocks is one group. Larger ones are split by size class, whose neighbours alone
+    can link, and by hash within a class, so a cluster of any size becomes bounded groups. Two rounds: every
+    block meets itself and some anchors of its class; then, of each cluster, what is not in its largest
+    component meets everything.
     """
     cluster = written(components(hot), "jaccard-clusters")
     ratio = float(np.log(100 / percent)) if percent < 100 else 1.0
@@ -454,12 +460,19 @@ def _block_links(hot: DataFrame, wanted: DataFrame, sets: DataFrame, percent: in
         return written(keyed.join(sets.select("fp", "s"), "fp").groupBy("cluster", "g1", "i", "g2", "j").applyInArrow(search, "a long, b long"), name)
 
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    zero = F.lit(0)
-    first, _ = blocks(m)
-    own = F.array(key(g, i, g, i, F.lit(-1)))
-    to_first = F.when(i > 0, F.array(key(g, zero, g, i, F.lit(1)))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.col("blocks") - 1, F.lit(1))), lambda j: key(g, zero, g, j, zero)))
-    to_first = F.when(F.col("blocks") > 1, to_first).otherwise(F.slice(own, 1, 0))
-    links = met(first.withColumn("k", F.concat(own, to_first)), "jaccard-near")
+    zero, minus = F.lit(0), F.lit(-1)
+    total = m.groupBy("cluster").agg(F.count(F.lit(1)).alias("total"))
+    m = written(m.join(total, "cluster").withColumn("large", F.col("total") > 2 * BLOCK).drop("total"), "jaccard-members", replaces=m)
+    large = m.where("large").drop("large")
+    links = met(m.where("not large").withColumn("k", F.array(key(minus, zero, minus, zero, minus))), "jaccard-small")
+    if large.isEmpty():
+        return links
+    # Anchors of a class, about a quarter of a block, are in all its blocks.
+    first, _ = blocks(large)
+    anchor = F.pmod(F.xxhash64("fp", F.lit(1)), 4 * F.col("blocks")) == 0
+    places = F.when(anchor, F.transform(upto(F.col("blocks")), lambda j: key(g, j, g, j, minus))).otherwise(F.array(key(g, i, g, i, minus)))
+    links = links.union(met(first.withColumn("k", places), "jaccard-near"))
+    m = large
     # In what follows two members of a cluster's largest component need not meet.
     known = m.join(components(links), F.col("node") == F.col("fp"), "left").select("fp", "cluster", "g", F.coalesce("root", "fp").alias("root"))
     known = written(known, "jaccard-known")
