@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from conftest import SF
 
 from trivane.functions.ternary import ARITY, READY
 from trivane.operators import solve
@@ -259,3 +260,16 @@ def test_stabilizing_nodes_resolve_their_section(spark):
 def test_empty_log(spark):
     got = engine.run(log(spark, []))
     assert got.changes.count() == got.values.count() == got.events.count() == 0
+
+
+def test_log_of_events(spark):
+    """The registered log, all of it."""
+    from trivane.queries.engine import event_log
+
+    ops = event_log(spark, SF)
+    rows = sorted((r.asDict() for r in ops.collect()), key=lambda r: r["seq"])
+    want = Fold([(r["op"], {**r, "edge": r["edge"]}) for r in rows])
+    seqs = [r["seq"] for r in rows]
+    got = engine.run(ops)
+    assert sorted((r.node, r.seq, r.old, r.val, r.version) for r in got.changes.collect()) == sorted((n, seqs[s - 1], *rest) for n, s, *rest in want.changes)
+    assert sorted(map(tuple, got.errors.collect())) == sorted((seqs[s - 1], *rest) for s, *rest in want.errors)
