@@ -28,6 +28,7 @@ different shingles of two compared documents, or both fingerprints of two differ
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -380,9 +381,10 @@ def jaccard_groups(docs: DataFrame, shingle: int = 4, percent: int = 85) -> Data
         wanted = written(ends.join(classes, "fp"), "jaccard-wanted")
         sets = _sets_of(docs, wanted, shingle, percent, levels, shared)
         head = lambda c: sets.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col("q").alias(f"q{c}"))
-        side = lambda c: sets.select(F.col("fp").alias(c), F.col("s").alias(f"s{c}"))
         near = pairs.join(head("b"), "b").join(head("a"), "a").select("a", "b", "na", "nb", "qa", "qb")
         pairs = written(near.mapInArrow(lean(_reach(percent, levels)), "a long, b long"), "jaccard-near")
+        whole = _only(sets, pairs.select(F.col("a").alias("fp")).union(pairs.select("b")))
+        side = lambda c: whole.select(F.col("fp").alias(c), F.col("s").alias(f"s{c}"))
         both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
         links = both.mapInArrow(lean(_verify(percent)), "a long, b long")
         if not hot.isEmpty():
@@ -428,6 +430,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, percent: int, lev
     return found.select(F.col("f").alias("fp"), "n", "q", "s")
 
 
+def _only(sets: DataFrame, fps: DataFrame) -> DataFrame:
+    """``sets`` of ``fps`` (fp). Few are known where sets are read; many leave them dealt by fp, as the next join wants them."""
+    return sets.join(written(fps.distinct(), "jaccard-only"), "fp", "left_semi")
+
+
 def _block_links(hot: DataFrame, wanted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links within clusters of long-list members, block against block.
 
@@ -455,23 +462,25 @@ def _block_links(hot: DataFrame, wanted: DataFrame, sets: DataFrame, percent: in
         found = list(links_of([np.frombuffer(x.as_buffer(), U) for x in t["s"].combine_chunks()], percent, None if (side < 0).all() else side))
         return pa.table([pa.array([fp[a] for a, _ in found], pa.int64()), pa.array([fp[b] for _, b in found], pa.int64())], schema=schema)
 
-    def met(keyed: DataFrame, name: str) -> DataFrame:
-        keyed = keyed.select("fp", "cluster", F.explode("k").alias("k")).select("fp", "cluster", "k.*")
-        return written(keyed.join(sets.select("fp", "s"), "fp").groupBy("cluster", "g1", "i", "g2", "j").applyInArrow(search, "a long, b long"), name)
+    def met(name: str, *keyed: DataFrame) -> DataFrame:
+        """Links within the groups of all of ``keyed``, whose whole sets are fetched once."""
+        rows = [d.select("fp", "cluster", F.lit(n).alias("kind"), F.explode("k").alias("k")).select("fp", "cluster", "kind", "k.*") for n, d in enumerate(keyed)]
+        rows = written(functools.reduce(DataFrame.union, rows), "jaccard-groups")
+        return written(rows.join(_only(sets, rows.select("fp")).select("fp", "s"), "fp").groupBy("kind", "cluster", "g1", "i", "g2", "j").applyInArrow(search, "a long, b long"), name)
 
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     zero, minus = F.lit(0), F.lit(-1)
     total = m.groupBy("cluster").agg(F.count(F.lit(1)).alias("total"))
     m = written(m.join(total, "cluster").withColumn("large", F.col("total") > 2 * BLOCK).drop("total"), "jaccard-members", replaces=m)
     large = m.where("large").drop("large")
-    links = met(m.where("not large").withColumn("k", F.array(key(minus, zero, minus, zero, minus))), "jaccard-small")
+    small = m.where("not large").withColumn("k", F.array(key(minus, zero, minus, zero, minus)))
     if large.isEmpty():
-        return links
+        return met("jaccard-small", small)
     # Anchors of a class, about a quarter of a block, are in all its blocks.
     first, _ = blocks(large)
     anchor = F.pmod(F.xxhash64("fp", F.lit(1)), 4 * F.col("blocks")) == 0
     places = F.when(anchor, F.transform(upto(F.col("blocks")), lambda j: key(g, j, g, j, minus))).otherwise(F.array(key(g, i, g, i, minus)))
-    links = links.union(met(first.withColumn("k", places), "jaccard-near"))
+    links = met("jaccard-near", small, first.withColumn("k", places))
     m = large
     # In what follows two members of a cluster's largest component need not meet.
     known = m.join(components(links), F.col("node") == F.col("fp"), "left").select("fp", "cluster", "g", F.coalesce("root", "fp").alias("root"))
@@ -486,7 +495,7 @@ def _block_links(hot: DataFrame, wanted: DataFrame, sets: DataFrame, percent: in
     same = F.transform(upto(F.col("blocks")), lambda j: key(g, F.least(i, j), g, F.greatest(i, j), F.when(i == j, -1).when(i < j, 0).otherwise(1)))
     up = F.transform(upto(F.coalesce("above", zero)), lambda j: key(g, i, g + 1, j, zero))
     down = F.transform(upto(F.coalesce("below", zero)), lambda j: key(g - 1, j, g, i, F.lit(1)))
-    among = met(pairs.withColumn("k", F.concat(same, up, down)), "jaccard-among")
+    among = pairs.withColumn("k", F.concat(same, up, down))
     # What is left with the largest component: blocks of one side with those of the other, three classes wide.
     top, sizes = blocks(known.where("in_top").select("fp", "cluster", "g"))
     there = sizes.select("cluster", "g", F.col("blocks").alias("there"))
@@ -496,8 +505,8 @@ def _block_links(hot: DataFrame, wanted: DataFrame, sets: DataFrame, percent: in
     here = counts.select("cluster", F.col("g").alias("to"), F.col("blocks").alias("here"))
     right = near(top, 1).join(here, ["cluster", "to"])
     right = right.withColumn("k", F.transform(upto(F.col("here")), lambda j: key(F.col("to"), j, g, i, F.lit(1))))
-    across = met(left.select("fp", "cluster", "k").union(right.select("fp", "cluster", "k")), "jaccard-across")
-    return links.union(among).union(across)
+    across = left.select("fp", "cluster", "k").union(right.select("fp", "cluster", "k"))
+    return links.union(met("jaccard-rest", among, across))
 
 
 def op8_jaccard_join(spark, sf_dir):
