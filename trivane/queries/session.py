@@ -165,8 +165,8 @@ def _paths(r):
     return p.select("path", "session_id", F.when(F.col("next").isNull(), "Active").when(F.col("after").isNull(), "Draining").otherwise("Closed").alias("state"))
 
 
-ACTIVITY = f"""{ROUTED}, lastly AS (SELECT session_id, max(causal_epoch) FILTER (WHERE outcome = 'Admitted') AS last_active, max(pos) FILTER (WHERE outcome = 'Admitted') AS at FROM rt GROUP BY session_id),
-    act AS (SELECT rt.session_id, any_value(last_active) AS last_active, count(*) FILTER (WHERE at IS NULL OR pos > at) AS idle FROM rt JOIN lastly USING (session_id) GROUP BY rt.session_id)"""
+ACTIVITY = f"""{ROUTED}, lastly AS (SELECT session_id, max(causal_epoch) FILTER (WHERE outcome = 'Admitted') AS last_active, max(pos) FILTER (WHERE outcome = 'Admitted') AS last_pos FROM rt GROUP BY session_id),
+    act AS (SELECT rt.session_id, any_value(last_active) AS last_active, count(*) FILTER (WHERE last_pos IS NULL OR pos > last_pos) AS idle FROM rt JOIN lastly USING (session_id) GROUP BY rt.session_id)"""
 
 
 def activity(spark, sf_dir):
@@ -361,9 +361,10 @@ def builder(spark, sf_dir):
     made = {"ready": g.computed("ready", "and"), "quorum": g.computed("quorum", "majority"), "alarm": g.computed("alarm", "not"), "lazy": g.computed("lazy", "or", lazy=True)}
     for i in ins:
         g.connect(i, made["quorum"])
-        g.set(i, True)
     g.connect(ins[0], made["ready"])
     g.connect(ins[1], made["alarm"])
+    for i in ins:
+        g.set(i, True)
     late = g.input("late")
     g.connect(late, made["lazy"])
     g.set(ins[0], True)
